@@ -13,6 +13,7 @@ MODULES = (
     "language_id",
     "byte_bpe",
     "url_filter",
+    "toxicity",
     "exact_dedup",
     "simhash_dedup",
 )
