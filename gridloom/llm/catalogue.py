@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Modules with a QUERY (name, callable) and an ORACLE (SQL text or None).
 MODULES = (
     "packing",
+    "warc",
+    "topk_search",
     "language_id",
     "byte_bpe",
     "url_filter",
