@@ -15,6 +15,7 @@ MODULES = (
     "language_id",
     "byte_bpe",
     "url_filter",
+    "line_dedup",
     "toxicity",
     "exact_dedup",
     "simhash_dedup",
