@@ -28,7 +28,8 @@ def _modules():
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to callable of (spark, sf_dir)."""
-    return {m.QUERY[0]: m.QUERY[1] for m in _modules()}
+    pipeline = import_module("corpus_pipeline")
+    return {m.QUERY[0]: m.QUERY[1] for m in _modules()} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, ensure_checkpoint_dir, slices, table
+from .common import cut, shared_folder, slices, table
 
 #: A payload shorter than this is always stored.
 REVISIT_BYTES = 100
@@ -236,16 +236,6 @@ def capture_histories(spark: SparkSession, archives: DataFrame, folder: str) ->
     return runs.repartitionByRange("url_key", "captured", "page_id").mapInArrow(_merge, _CAPTURE)
 
 
-def archive_folder(spark: SparkSession) -> str:
-    """A new folder for archives below the shared checkpoint folder; it goes when the session's JVM ends."""
-    ensure_checkpoint_dir(spark)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/warc-{uuid.uuid4().hex}")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(path)
-    fs.deleteOnExit(path)
-    return fs.makeQualified(path).toString()
-
-
 def warc_round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` (page_id, url, html and, if known, captured) to archives and read them back as capture histories.
 
@@ -258,7 +248,7 @@ def warc_round_trip(pages: DataFrame) -> DataFrame:
     """
     if "captured" not in pages.columns:
         pages = pages.select("page_id", "url", "html", F.timestamp_seconds(F.coalesce(F.pmod(F.col("page_id"), F.lit(1 << 32)), F.lit(0))).alias("captured"))
-    folder = archive_folder(pages.sparkSession)
+    folder = shared_folder(pages.sparkSession, f"warc-{uuid.uuid4().hex}")
     return capture_histories(pages.sparkSession, write_archives(pages, folder), folder)
 
 
