@@ -29,8 +29,8 @@ END_ID = 2
 FINE = 6
 #: A combination may leave this share of a window empty.
 WASTE = 1 / 128
-#: Entries that a worker's word caches may hold.
-CACHE_WORDS = 400_000
+#: Entries in each of the two generations of a worker's caches.
+CACHE_WORDS = 200_000
 #: Pieces that are ranked together.
 SHARD_ROWS = 20_000
 
@@ -47,45 +47,58 @@ def encoder(tokenizer: str):
         return cache["encode"]
     import re
     import unicodedata
+    from array import array
 
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokenizer)
-    model = whole.model
+    tokenize = whole.model.tokenize
     if whole.get_vocab_size() > 1 << 16:
         raise ValueError("ids must fit 16 bits")
     # separators and spaces beyond ASCII, letters whose lower case depends on their place, special tokens
     odd = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\u03a3\\u0130]|<\\|")
-    plain = re.compile(r"[!-~]+")
-    parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+    # chunks of visible ASCII and Latin letters are split here as the vocabulary's pre-tokenizer does; others go to it
+    latin = "a-z\\xe0-\\xf6\\xf8-\\xff\\u0101-\\u017e"
+    plain = re.compile(f"[!-~{latin}]+")
+    strange = re.compile(f"[^ -~\\t\\n\\v\\f\\r\\xc0-\\xd6\\xd8-\\xde{latin}]")
+    parts = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{latin}]+|[0-9]|[^\s{latin}0-9]+")
+    hidden = [*range(33), *range(127, 161), 173]
+    visible = {b: 256 + i for i, b in enumerate(hidden)}  # how byte-level vocabularies write bytes that are no visible Latin-1 sign
 
     def ids_of(text: str) -> bytes:
-        return np.array(whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return array("H", whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    class Words(dict):
-        def __missing__(self, word: str) -> bytes:
-            found = np.array([t.id for t in model.tokenize(word)], "<u2").tobytes()
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = found
-            return found
+    class Cache(dict):
+        """Two generations, so that common entries outlive the turn-over."""
 
-    words = Words()
+        def __init__(self, make):
+            self.make, self.old = make, {}
 
-    class Chunks(dict):
-        def __missing__(self, chunk: str) -> bytes:
-            found = b"".join(map(words.__getitem__, parts.findall(chunk))) if plain.fullmatch(chunk) else ids_of(chunk)
+        def __missing__(self, key: str) -> bytes:
+            found = self.old.get(key) or self.make(key)
             if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
                 self.clear()
-            self[chunk] = found
+            self[key] = found
             return found
 
-    chunks = Chunks()
+    def word_ids(word: str) -> bytes:
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(visible)
+        return array("H", [t.id for t in tokenize(spelled)]).tobytes()
+
+    words = Cache(word_ids)
+    def chunk_ids(chunk: str) -> bytes:
+        return b"".join(map(words.__getitem__, parts.findall(chunk)))
+
+    chunks = Cache(chunk_ids)
+    mixed_chunks = Cache(lambda chunk: chunk_ids(chunk) if plain.fullmatch(chunk) else ids_of(chunk))
 
     def encode(text: str) -> bytes:
+        if not strange.search(text) and "<|" not in text:
+            return b"".join(map(chunks.__getitem__, text.lower().split()))
         if odd.search(text) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
             return ids_of(text)
-        return b"".join(map(chunks.__getitem__, text.lower().split()))
+        return b"".join(map(mixed_chunks.__getitem__, text.lower().split()))
 
     cache["encode"] = encode
     return encode
