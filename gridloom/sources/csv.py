@@ -33,7 +33,7 @@ def detect_encoding(sample: bytes) -> str:
         sample.decode("utf-8")
         return "utf-8"
     except UnicodeDecodeError as error:
-        if error.end >= len(sample) and len(sample) - error.start < 4:
+        if error.reason == "unexpected end of data" and len(sample) == SAMPLE_BYTES:
             return "utf-8"
     has_controls = any(0x80 <= b < 0xA0 for b in sample)
     return "cp1252" if has_controls and not any(b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) for b in sample) else "iso-8859-1"

@@ -174,6 +174,8 @@ def frame(files: DataFrame, kind: str, options: Options, row_id: bool = False, f
     from 0; with ``file_column`` the column ``_file`` has the file's path.
     Offset and limit count for each file.
     """
+    if options.header_offset == "auto" and not options.required_columns:
+        raise ValueError("header_offset='auto' needs required_columns")
     header, plain_width, types = _plan(files, kind, options)
     ddl = T.StructType([T.StructField("_file", T.StringType()), T.StructField(ROW_ID, T.LongType()), *[T.StructField(f"_c{i}", T._parse_datatype_string(k)) for i, k in enumerate(types)]])
     rows = files.select("path", "content").mapInArrow(_decoder(kind, options, plain_width, types), ddl)
@@ -190,8 +192,9 @@ def read_csv_splits(spark: SparkSession, paths: str | list[str], options: Option
 
     For UTF-8 files with one header row at the top (or none, or given headers),
     in which blank lines do not count. Names, required columns, selection and
-    aliases are the engine's own: the parser's column pruning then reads only
-    what is selected. With ``strict``, a row of another width raises.
+    aliases are the engine's own. The parser's column pruning stays off: with it,
+    ragged rows could not be told from whole ones. With ``strict``, a row of
+    another width raises.
     """
     if options.header_offset is not None or options.header_rows != 1 or not options.skip_empty_lines or options.input_encoding or options.limit is not None or options.offset:
         raise ValueError("read_csv_splits takes one header row at the top, UTF-8, and neither offset nor limit")
@@ -205,7 +208,7 @@ def read_csv_splits(spark: SparkSession, paths: str | list[str], options: Option
     width = len(full) if full is not None else len(first)
     schema = T.StructType([*[T.StructField(f"_c{i}", T.StringType()) for i in range(width)], T.StructField("_bad", T.StringType())])
     own_header = options.assoc and not options.headers
-    rows = spark.read.schema(schema).csv(
+    rows = spark.read.schema(schema).option("columnPruning", False).csv(
         paths, sep=separator, quote=options.enclosure, escape=options.escape or options.enclosure, header=own_header, enforceSchema=True, multiLine=multi_line,
         emptyValue="", columnNameOfCorruptRecord="_bad", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, encoding="UTF-8",
     )
