@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of text that a Python worker turns into Python objects at a time.
 SLICE_ROWS = 256
+#: Bytes of a batch that goes to a Python worker, about.
+BATCH_BYTES = 8 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -24,6 +26,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, into the checkpoint folder that all executors share."""
     ensure_checkpoint_dir(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -39,12 +42,28 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the given folder."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def worker_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker, over all its tasks."""
-    return sys.__dict__.setdefault("_gridloom_caches", {}).setdefault(name, {})
+    """A dict that lives as long as the Python worker, over all its tasks.
+
+    Only the cache asked for last stays, so that a worker which serves one
+    operator after another does not hold the words of all of them.
+    """
+    caches = sys.__dict__.setdefault("_gridloom_caches", {})
+    for other in [k for k in caches if k != name]:
+        caches.pop(other).clear()
+    return caches.setdefault(name, {})
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_BYTES: a task holds a batch in the JVM and in Python at the same time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

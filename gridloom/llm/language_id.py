@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, table, worker_cache
 
 #: Labelled rows of each language that the classifiers are fitted on, about; more rows are sampled by a hash of their id.
 SAMPLE_ROWS = 2000
@@ -165,6 +165,7 @@ def predict_columns(spark: SparkSession, model: Model):
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("language_id")  # lets go of what another operator has cached
         known = shared.value
         for part in slices(batches):
             at = part.schema.names.index("_gl_text")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop_rows, slices, table
+from .common import cut, drop_rows, slices, table, worker_cache
 from .components import components
 
 BITS, HALF = 64, 32
@@ -55,6 +55,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_cache("simhash_dedup")  # lets go of what another operator has cached
     for part in slices(batches):
         prints = pa.array([fingerprint(t) for t in part.column(1).to_pylist()], pa.int64())
         yield pa.RecordBatch.from_arrays([part.column(0), prints], names=["doc_id", "fp"])
@@ -245,6 +246,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def _keyed_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_cache("simhash_dedup")  # lets go of what another operator has cached
     for part in slices(batches):
         both = part.column(0)
         prints = pa.array([fingerprint(t) for t in part.column(1).to_pylist()], pa.int64())
