@@ -1,9 +1,10 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
 The lexicon is learned from labelled rows: words that stand in many different
-contexts in toxic texts and in few others. Words are compared after undoing
-common obfuscation (digits and signs for letters, marks between letters,
-drawn-out letters). A text's features are densities of lexicon words, how near
+contexts in toxic texts and in few others, and the beginnings of words that do
+so, which cover the compounds of languages that build them. Words are compared
+after undoing common obfuscation (digits and signs for letters, marks between
+letters, drawn-out letters). A text's features are densities of lexicon words, how near
 they stand to a second person, capitals, punctuation and obfuscation rates.
 Trees are boosted on the logistic loss over binned features; scores are
 calibrated by isotonic regression of out-of-fold scores.
@@ -26,17 +27,21 @@ from .language_id import held_out
 
 #: Labelled rows that the model is fitted on, about; more are sampled by a hash of their id.
 SAMPLE_ROWS = 12_000
-#: Lexicon words, and the least toxic contexts and log-odds that a word needs to be one.
-LEXICON_WORDS, LEXICON_CONTEXTS, LEXICON_ODDS = 400, 4, 2.5
+#: Lexicon words, and what a word needs to be one: toxic texts, contexts in toxic texts, and log-odds of its share of texts.
+LEXICON_WORDS, LEXICON_TEXTS, LEXICON_CONTEXTS, LEXICON_ODDS = 400, 3, 4, 2.5
+#: The same for beginnings of words, which are never as telling.
+STEM_LETTERS, STEMS, STEM_ODDS = 5, 200, 1.5
 CACHE_WORDS = 300_000
 LIMIT = 0.3
-TREES, DEPTH, RATE, BINS, FOLDS, LEAST_LEAF = 80, 3, 0.15, 32, 3, 15.0
+#: Rows that a step of the calibration stands on; fewer if there are few labels.
+CALIBRATION_ROWS = 8
+TREES, DEPTH, RATE, BINS, FOLDS, LEAST_LEAF = 80, 3, 0.15, 32, 5, 15.0
 
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch euer tu te toi ton ta tes vous votre vos tú ti tuyo vosotros usted ustedes".split())
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "€": "e"})
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DRAWN = re.compile(r"(.)\1{2,}")
-_LEX, _YOU, _CAPS, _MASKED, _WORD = 1, 2, 4, 8, 16
+_LEX, _YOU, _CAPS, _MASKED, _WORD, _STEM = 1, 2, 4, 8, 16, 32
 
 
 def plain_word(token: str) -> str:
@@ -46,7 +51,7 @@ def plain_word(token: str) -> str:
 
 def unmasked(token: str) -> str:
     """The token with obfuscation undone: look-alike signs read as letters, marks between letters and drawn-out letters dropped."""
-    core = token.lower().strip(".,;:?\"'()[]{}<>|*#%&")
+    core = token.lower().strip(".,;:?\"'()[]{}<>|*#%&").rstrip("!?.,;:")
     return _DRAWN.sub(r"\1", "".join(_LETTERS.findall(core.translate(_LEET))))
 
 
@@ -59,9 +64,10 @@ def is_masked(token: str) -> bool:
 class Featurizer:
     """Dense features of whole texts, with a worker's cache of what each token is."""
 
-    NAMES = ("lexicon", "lexicon_log", "lexicon_kinds", "lexicon_near_you", "lexicon_densest", "lexicon_masked", "you", "caps_letters", "caps_words", "exclaim", "question", "punct", "masked", "digits", "words_log")
+    NAMES = ("lexicon", "lexicon_log", "lexicon_kinds", "lexicon_near_you", "lexicon_densest", "lexicon_masked", "you", "caps_letters", "caps_words", "exclaim", "question", "punct", "masked", "digits", "words_log", "stems", "stems_log")
 
     def __init__(self, lexicon: frozenset[str]):
+        """``lexicon`` holds words, and stems with the mark ``~`` in front."""
         self.lexicon = lexicon
         cache = worker_cache("toxicity")
         if cache.get("lexicon") != lexicon:
@@ -72,6 +78,7 @@ class Featurizer:
     def code(self, token: str) -> int:
         plain, masked = plain_word(token), is_masked(token)
         c = _WORD * bool(plain) | _YOU * (plain in SECOND_PERSON) | _CAPS * (len(plain) > 1 and token.upper() == token) | _MASKED * masked
+        c |= _STEM * ("~" + plain[:STEM_LETTERS] in self.lexicon)
         return c | _LEX * (plain in self.lexicon or masked and unmasked(token) in self.lexicon)
 
     def __call__(self, text: str | None) -> list[float]:
@@ -95,6 +102,7 @@ class Featurizer:
                 near = int((np.minimum(np.abs(you[at] - hits), np.abs(you[after] - hits)) <= 3).sum())
             densest = int((np.searchsorted(hits, hits + 50) - np.arange(len(hits))).max())
         kinds = len({plain_word(tokens[i]) for i in hits}) if len(hits) else 0
+        stems = int(np.count_nonzero(c & _STEM))
         raw = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
         upper, lower = int(raw[65:91].sum()), int(raw[97:123].sum())
         size = max(1, int(raw.sum()))
@@ -115,6 +123,8 @@ class Featurizer:
             float(np.count_nonzero(c & _MASKED)) / n,
             int(raw[48:58].sum()) / size,
             float(np.log1p(n)),
+            stems / n,
+            float(np.log1p(stems)),
         ]
 
 
@@ -175,12 +185,23 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
     return Trees(np.array(features), np.array(thresholds), np.array(values), start)
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots (score, probability) of the non-decreasing fit, by pooling adjacent violators."""
-    order = np.argsort(score, kind="stable")
+def isotonic(score: np.ndarray, y: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Knots (score, probability) of the non-decreasing fit, by pooling adjacent violators.
+
+    Neighbours are pooled first until ``least`` rows stand together, so that a few odd labels make no step.
+    """
+    values, which = np.unique(score, return_inverse=True)  # equal scores are one point
+    sums, counts = np.bincount(which, y), np.bincount(which)
     blocks: list[list[float]] = []
-    for s, v in zip(score[order], y[order]):
-        blocks.append([float(v), 1.0, float(s), float(s)])
+    open_: list[float] | None = None
+    left = len(score)
+    for s, v, n in zip(values, sums, counts):
+        open_ = [float(v), float(n), float(s), float(s)] if open_ is None else [open_[0] + v, open_[1] + n, open_[2], float(s)]
+        left -= n
+        if open_[1] < least or 0 < left < least:
+            continue
+        blocks.append(open_)
+        open_ = None
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             v2, n2, _, hi = blocks.pop()
             blocks[-1][0] += v2
@@ -213,30 +234,42 @@ class Model:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, before, toxic): each text's words with a hash of the word before."""
+    """(word, before, toxic, first): each text's words with a hash of the word before; ``first`` once for each word of a text."""
     import zlib
 
     for part in slices(batches, 64):
-        words, before, toxic = [], [], []
+        words, before, toxic, first = [], [], [], []
         for text, mark in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
             tokens = [plain_word(t) for t in (text or "").split()]
             pairs = {(w, zlib.crc32(b.encode("utf-8", "surrogatepass"))) for b, w in zip(["", *tokens], tokens) if 1 < len(w) <= 40}
-            words += [w for w, _ in pairs]
-            before += [b for _, b in pairs]
+            pairs |= {("~" + w[:STEM_LETTERS], b) for w, b in pairs if len(w) > STEM_LETTERS}
+            met: set[str] = set()
+            for w, b in pairs:
+                words.append(w)
+                before.append(b)
+                first.append(int(w not in met))
+                met.add(w)
             toxic += [mark] * len(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(before, pa.int64()), pa.array(toxic, pa.int32())], names=["word", "before", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(before, pa.int64()), pa.array(toxic, pa.int32()), pa.array(first, pa.int32())], names=["word", "before", "toxic", "first"])
 
 
 def learn_lexicon(rows: DataFrame) -> frozenset[str]:
-    """Words whose distinct contexts are mostly in toxic texts. Copies of a text add no contexts, so they add no words."""
-    pairs = rows.mapInArrow(_contexts, "word string, before long, toxic int")
-    once = pairs.groupBy("word", "before").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("c"))
-    words = once.groupBy("word").agg(F.sum("t").cast("double").alias("t"), F.sum("c").cast("double").alias("c"))
+    """Words whose texts are mostly toxic ones and that stand in several contexts there.
+
+    Copies of a text add no contexts, so they alone add no words; words that are
+    common everywhere have no odds, however long a toxic text is.
+    """
+    pairs = rows.mapInArrow(_contexts, "word string, before long, toxic int, first int")
+    mine, other = F.col("toxic"), 1 - F.col("toxic")
+    once = pairs.groupBy("word", "before").agg(F.max(mine).alias("context"), F.sum(F.col("first") * mine).alias("t"), F.sum(F.col("first") * other).alias("c"))
+    words = once.groupBy("word").agg(F.sum("context").alias("contexts"), F.sum("t").cast("double").alias("t"), F.sum("c").cast("double").alias("c"))
     total = rows.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     toxic, clean = float(total[0] or 0), float(total[1] or 0)
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
-    best = words.filter((F.col("t") >= LEXICON_CONTEXTS) & (odds >= LEXICON_ODDS)).orderBy((odds * F.sqrt("t")).desc(), "word").limit(LEXICON_WORDS)
-    return frozenset(r["word"] for r in best.select("word").collect())
+    known = words.filter((F.col("t") >= LEXICON_TEXTS) & (F.col("contexts") >= LEXICON_CONTEXTS)).withColumns({"odds": odds, "stem": F.col("word").startswith("~")})
+    best = lambda of, least, most: of.filter(F.col("odds") >= least).orderBy((F.col("odds") * F.sqrt("t")).desc(), "word").limit(most)
+    found = best(known.filter(~F.col("stem")), LEXICON_ODDS, LEXICON_WORDS).unionAll(best(known.filter("stem"), STEM_ODDS, STEMS))
+    return frozenset(r["word"] for r in found.select("word").collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -269,7 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         if inside.all() or not inside.any():
             inside = np.ones(len(y), bool)
         out[fold == k] = boost(x[inside], y[inside]).raw(x[fold == k]) if (fold == k).any() else 0
-    return Model(lexicon, boost(x, y), isotonic(out, y), float(y.mean()))
+    return Model(lexicon, boost(x, y), isotonic(out, y, max(1, min(CALIBRATION_ROWS, len(y) // 1000))), float(y.mean()))
 
 
 def _scorer(spark: SparkSession, model: Model):
