@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom import facade
 from gridloom.errors import InvalidDocument, InvalidRow, MissingColumn, UnsupportedFormat
@@ -115,7 +116,7 @@ def test_write(spark):
     assert content.decode() == 'i,t,b,f\r\n1,foo\\,1,\r\n2,"all""three\n,together",0,1.5\r\n3,=SUM(A1:A10),,2\r\n'
     assert dicts(read(spark, content, assoc=True))[1]["t"] == 'all"three\n,together'
     assert b"'=SUM(A1:A10)" in facade.write_bytes(df, "csv", escape_formulas=True)
-    assert b"!=SUM" in facade.write_bytes(df, "csv", escape_formulas=lambda c, i: __import__("pyspark.sql.functions").sql.functions.concat(__import__("pyspark.sql.functions").sql.functions.lit("!"), c))
+    assert b"!=SUM" in facade.write_bytes(df, "csv", escape_formulas=lambda c, i: F.concat(F.lit("!"), c))
     assert not facade.write_bytes(df, "csv", bom=False).startswith(b"i,t")
     assert facade.write_bytes(df, "csv").startswith(b"\xef\xbb\xbf")
     with pytest.raises(InvalidRow):
