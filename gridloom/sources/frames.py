@@ -96,7 +96,10 @@ def _converted(values: list[Any], kind: str) -> pa.Array:
     return pa.array([None if v == "" else v for v in values], _ARROW[kind])
 
 
-def _decoder(kind: str, options: Options, plain_width: int | None, kinds: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def row_decoder(kind: str, options: Options, plain_width: int | None, kinds: list[str], header: HeaderPaths | None) -> tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], list[T.StructField]]:
+    """A mapInArrow function from (path, content) to ``_file``, ``_row_id`` and physical columns, and its schema."""
+    fields = [T.StructField("_file", T.StringType()), T.StructField(ROW_ID, T.LongType()), *[T.StructField(f"_c{i}", T._parse_datatype_string(k)) for i, k in enumerate(kinds)]]
+    paths = header.paths if header is not None else None
     names = ["_file", ROW_ID, *(f"_c{i}" for i in range(len(kinds)))]
 
     def batch_of(path: str, first: int, rows: list[Row]) -> pa.RecordBatch:
@@ -109,6 +112,8 @@ def _decoder(kind: str, options: Options, plain_width: int | None, kinds: list[s
             for path, content in zip(batch.column(0), batch.column(1)):
                 try:
                     found = decoded(content.as_py(), kind, options)
+                    if found.header is not None and found.header.paths != paths:
+                        raise InvalidDocument("The files have different headers: " + ", ".join(found.header.names))
                     picked = range(plain_width) if plain_width is not None else found.header.indices if found.header else ()
                     part, first = [], 0
                     for row in found.rows:
@@ -122,10 +127,10 @@ def _decoder(kind: str, options: Options, plain_width: int | None, kinds: list[s
                 except EngineError as error:
                     raise RuntimeError(encode_error(error)) from error
 
-    return run
+    return run, fields
 
 
-def _plan(files: DataFrame, kind: str, options: Options) -> tuple[HeaderPaths | None, int | None, list[str]]:
+def plan_files(files: DataFrame, kind: str, options: Options) -> tuple[HeaderPaths | None, int | None, list[str]]:
     """(header, plain width, column types) that fit all files."""
     named = bool(options.headers) or options.assoc or options.header_offset == "auto"
     whole = not named or not options.stringify_values or options.strict
@@ -176,9 +181,9 @@ def frame(files: DataFrame, kind: str, options: Options, row_id: bool = False, f
     """
     if options.header_offset == "auto" and not options.required_columns:
         raise ValueError("header_offset='auto' needs required_columns")
-    header, plain_width, types = _plan(files, kind, options)
-    ddl = T.StructType([T.StructField("_file", T.StringType()), T.StructField(ROW_ID, T.LongType()), *[T.StructField(f"_c{i}", T._parse_datatype_string(k)) for i, k in enumerate(types)]])
-    rows = files.select("path", "content").mapInArrow(_decoder(kind, options, plain_width, types), ddl)
+    header, plain_width, types = plan_files(files, kind, options)
+    run, schema = row_decoder(kind, options, plain_width, types, header)
+    rows = files.select("path", "content").mapInArrow(run, T.StructType(schema))
     return finish(rows, header, options.assoc, row_id, file_column)
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from typing import IO
 from xml.etree import ElementTree
 
@@ -77,6 +79,55 @@ def walk(source: IO[bytes] | bytes, events: tuple[str, ...] = ("end",)) -> Itera
         raise InvalidDocument(f"The document has invalid XML: {error}") from error
 
 
+class Unplain(Exception):
+    """Raised by element_groups() where text alone does not tell where elements end."""
+
+
+def element_groups(source: IO[bytes], name: str, size: int = 1 << 18) -> Iterator[tuple[bytes, Callable[[], list[ElementTree.Element]]]]:
+    """Groups of the elements of a name that follow one another below one parent: their text, and a parser of it.
+
+    A group of whole elements is cut out of the document's text. What is around
+    the groups is parsed at the end. Raises Unplain, before or between groups
+    or from a parser, if names have prefixes, the encoding is not UTF-8 or a
+    cut does not parse, as within a comment.
+    """
+
+    def parse(group: bytes) -> list[ElementTree.Element]:
+        try:
+            return list(ElementTree.fromstring(opening + group + b"</group>"))
+        except ElementTree.ParseError as error:
+            raise Unplain from error
+
+    end = f"</{name}>".encode()
+    head, rest = b"", b""
+    while True:
+        data = source.read(size)
+        rest += data
+        if not head:
+            at = re.search(rb"<" + name.encode() + rb"[\s/>]", rest)
+            if at is None:
+                if data and len(rest) < 8 * size:
+                    continue
+                raise Unplain
+            head, rest = rest[: at.start()], rest[at.start() :]
+            if b"<!DOCTYPE" in head or b"<!ENTITY" in head:
+                raise InvalidDocument("Document type declarations are not allowed")
+            declared = re.search(rb"encoding\s*=\s*[\"']([^\"']+)", head[:200])
+            if declared and declared[1].lower() not in (b"utf-8", b"us-ascii") or head.startswith((b"\xff\xfe", b"\xfe\xff")) or b"<!" in head:
+                raise Unplain
+            opening = b"<group " + b" ".join(m[0] for m in re.finditer(rb"xmlns(?::[\w.-]+)?\s*=\s*(?:\"[^\"]*\"|'[^']*')", head)) + b">"
+        cut = rest.rfind(end) + len(end)
+        if cut >= len(end):
+            group, rest = rest[:cut], rest[cut:]
+            yield group, partial(parse, group)
+        if not data:
+            break
+    try:
+        ElementTree.fromstring(head + rest)
+    except ElementTree.ParseError as error:
+        raise InvalidDocument(f"The document has invalid XML: {error}") from error
+
+
 def tree(data: bytes) -> ElementTree.Element:
     """The root of a small XML document."""
     if b"<!DOCTYPE" in data or b"<!ENTITY" in data:

@@ -5,14 +5,14 @@ from __future__ import annotations
 import posixpath
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 from xml.etree import ElementTree
 
 from ..errors import InvalidDocument, SheetNotFound
 from ..functions import values as V
 from ..options import Options
-from .package import MAX_COLUMNS, MAX_STRINGS, entry, local, open_package, stream, tree, walk
+from .package import MAX_COLUMNS, MAX_STRINGS, Unplain, element_groups, entry, local, open_package, stream, tree, walk
 from .rows import Row, Wanted, is_blank
 
 FIRST_SHEET = "xl/worksheets/sheet1.xml"
@@ -110,53 +110,118 @@ def rows(content: bytes, options: Options, wanted: Wanted) -> Iterator[Row]:
         strings, classes, base_1904 = shared_strings(package), cell_classes(package), is_1904(package)
         inherited: dict[int, str] = {}
         letters: dict[str, int] = {}
-        with stream(package, sheet_path(package, options.sheet), options.max_worksheet_size) as source:
+        def decoded(cells: Iterable[tuple[str, str, str, str]]) -> Row:
+            return _decode(cells, options, wanted, strings, classes, base_1904, inherited, letters)
+
+        path, done = sheet_path(package, options.sheet), 0
+        try:
+            with stream(package, path, options.max_worksheet_size) as source:
+                for group, parse in element_groups(source, "row"):
+                    found = plain_rows(group)
+                    for cells in found if found is not None else (_cells(e) for e in parse() if local(e.tag) == "row"):
+                        done += 1
+                        row = decoded(cells)
+                        if not (options.skip_empty_lines and is_blank(row)):
+                            yield row
+            return
+        except Unplain:
+            pass
+        with stream(package, path, options.max_worksheet_size) as source:
             for _, element in walk(source):
                 name = local(element.tag)
                 if name == "row":
-                    row = _row(element, options, wanted, strings, classes, base_1904, inherited, letters)
+                    done -= 1
+                    if done < 0:
+                        row = decoded(_cells(element))
+                        if not (options.skip_empty_lines and is_blank(row)):
+                            yield row
                     element.clear()
-                    if not (options.skip_empty_lines and is_blank(row)):
-                        yield row
                 elif name == "sheetData":
                     element.clear()
 
 
-def _row(element: ElementTree.Element, options: Options, wanted: Wanted, strings: list[str], classes: list[str | None], base_1904: bool, inherited: dict[int, str], letters: dict[str, int]) -> Row:
-    out: Row = []
+#: A cell as most writers put it: address, style, type, and a text in place, a value or nothing.
+_CELL = re.compile(r'<c(?: r="([A-Za-z]+)[0-9]*")?(?: s="([0-9]+)")?(?: t="([A-Za-z]+)")? ?(?:/>|>(?:<is><t(?: xml:space="preserve")?>([^<]*)</t></is>|(?:<f(?: [^<>]*)?(?:/>|>[^<]*</f>))?<v>([^<]*)</v>|<v/>)?</c>)')
+_HEAD = re.compile(r"\s*(?:<row(?: [^<>]*)?/>\s*)*<row(?: [^<>]*[^<>/])? ?>\s*")
+_ALONE = re.compile(r"<row(?: [^<>]*)?/>")
+_ENTITY = re.compile(r"&(?:(amp|lt|gt|quot|apos)|#([0-9]+)|#x([0-9A-Fa-f]+));")
+_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+_FORBIDDEN = bytes([*range(9), 11, 12, 13, *range(14, 32)])
+
+
+def _unescaped(text: str) -> str:
+    return _ENTITY.sub(lambda m: _NAMED[m[1]] if m[1] else chr(int(m[2])) if m[2] else chr(int(m[3], 16)), text)
+
+
+def plain_rows(group: bytes) -> list[list[tuple[str, str, str, str]]] | None:
+    """The cells of whole rows by their text alone; None unless every sign of it is accounted for."""
+    if len(group.translate(None, _FORBIDDEN)) != len(group):
+        return None
+    try:
+        text = group.decode()
+    except UnicodeDecodeError:
+        return None
+    escaped = "&" in text
+    if escaped and "&" in _ENTITY.sub("", text):
+        return None
+    out: list[list[tuple[str, str, str, str]]] = []
+    for segment in text.split("</row>")[:-1]:
+        head = _HEAD.match(segment)
+        if head is None:
+            return None
+        if segment.count("<row", 0, head.end()) > 1:
+            out += [[] for _ in _ALONE.findall(head[0])]
+        body = segment[head.end() :]
+        if _CELL.sub("", body).strip():
+            return None
+        cells = _CELL.findall(body)
+        if escaped and "&" in body:
+            out.append([(r, s, t, _unescaped(i or v)) for r, s, t, i, v in cells])
+        else:
+            out.append([(r, s, t, i or v) for r, s, t, i, v in cells])
+    return out
+
+
+def _cells(element: ElementTree.Element) -> Iterator[tuple[str, str, str, str]]:
+    """(column letters, style, type, text) of the cells of a row element."""
+    space = element.tag[:-3]
+    tag_c, tag_v, tag_is, tag_t = space + "c", space + "v", space + "is", space + "t"
     for cell in element:
-        if local(cell.tag) != "c":
-            continue
-        place = cell.get("r", "")
+        if cell.tag == tag_c:
+            text = ""
+            for part in cell:
+                if part.tag == tag_v:
+                    text = part.text or ""
+                elif part.tag == tag_is:
+                    text = "".join([t.text or "" for t in part.iter(tag_t)])
+            yield cell.get("r", "").rstrip("0123456789"), cell.get("s", ""), cell.get("t", ""), text
+
+
+def _decode(cells: Iterable[tuple[str, str, str, str]], options: Options, wanted: Wanted, strings: list[str], classes: list[str | None], base_1904: bool, inherited: dict[int, str], letters: dict[str, int]) -> Row:
+    out: Row = []
+    native, asked = not options.stringify_values, wanted.columns
+    for column, style, kind, text in cells:
         at = len(out)
-        if place:
-            column = place.rstrip("0123456789")
+        if column:
             if column not in letters:
                 if not re.fullmatch("[A-Za-z]{1,3}", column) or V.column_index(column) > MAX_COLUMNS:
                     raise InvalidDocument(f"Cell reference '{column}' exceeds the maximum of {MAX_COLUMNS} columns")
                 letters[column] = V.column_index(column) - 1
             at = letters[column]
-        out.extend([None] * (at - len(out)))
-        if wanted.columns is not None and at not in wanted.columns:
+            if at > len(out):
+                out.extend([None] * (at - len(out)))
+        if asked is not None and at not in asked:
             out.append(None)
             continue
-        kind, style, text = cell.get("t", ""), cell.get("s", ""), ""
-        for part in cell:
-            if local(part.tag) == "v":
-                text = "".join(part.itertext())
-            elif local(part.tag) == "is":
-                text = "".join("".join(t.itertext()) for t in part.iter() if local(t.tag) == "t")
         if kind == "s":
             text = strings[int(text)] if text.isdigit() and int(text) < len(strings) else ""
-        known = style.isdigit() and int(style) < len(classes)
-        shows = classes[int(style)] if known else None
-        column = len(out)
-        if shows is None and kind == "n" and options.stringify_values and V.is_numeric(text):
-            shows = inherited.get(column)
+        shows = classes[int(style)] if style and style.isdigit() and int(style) < len(classes) else None
+        if shows is None and kind == "n" and inherited and not native and V.is_numeric(text):
+            shows = inherited.get(len(out))
         if shows is not None:
-            inherited.setdefault(column, shows)
-        if options.stringify_values:
-            out.append(V.serial_to_text(text, base_1904) if shows not in (None, "number") else text)
-        else:
+            inherited.setdefault(len(out), shows)
+        if native:
             out.append(decode_cell(kind, text, shows, base_1904))
+        else:
+            out.append(text if shows is None or shows == "number" else V.serial_to_text(text, base_1904))
     return out

@@ -179,3 +179,27 @@ def test_guarded_files(spark, tmp_path):
     assert metadata.properties_frame(spark, path).first()["n_sheets"] == 1
     with pytest.raises(InvalidDocument):
         facade.read_bytes(spark, b"PK\x03\x04broken", "xlsx")
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        '<row r="1"><c r="A1" s="0" t="str"><v>a &amp; b&#10;&#x41;</v></c><c r="C1"><f>1+1</f><v>2</v></c></row><row/><row r="3"/><row r="4"><c/></row>\n <row><c><v/></c></row>',
+        '<row><c t="str" r="A1"><v>x</v></c></row><row><!-- </row> --><c><v>1</v></c></row><row><c t="inlineStr"><is><t><![CDATA[<row>]]></t></is></c></row>',
+        '<row spans="1:2" ht="12.5">\n<c r="B1" t="inlineStr"><is><r><t>p</t></r><r><t>q\r\n</t></r></is></c>\n</row>' * 3,
+    ],
+)
+def test_rows_by_text_and_by_parser_agree(body, monkeypatch):
+    from gridloom.sources import xlsx
+
+    content = sheet(body)
+    fast = got(content, skip_empty_lines=False)
+    monkeypatch.setattr(xlsx, "plain_rows", lambda group: None)
+    middle = got(content, skip_empty_lines=False)
+
+    def unplain(*_):
+        raise xlsx.Unplain
+        yield
+
+    monkeypatch.setattr(xlsx, "element_groups", unplain)
+    assert fast == middle == got(content, skip_empty_lines=False) and len(fast) >= 3
