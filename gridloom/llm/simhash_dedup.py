@@ -19,7 +19,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, drop_rows, slices, table, worker_cache
@@ -31,6 +31,8 @@ MAX_DIFF, HALF_DIFF = 3, 1
 SHINGLE_WORDS, SEED = 3, 42
 #: Fingerprints that a prefix cell should hold on average.
 CELL_SIZE = 8192
+#: Fingerprints beyond which a cell is split by so many bits more.
+CELL_LIMIT, SPLIT_BITS = 1 << 17, 4
 #: Node pairs that are expanded at a time; pairs with at most BRUTE leaf pairs are compared at once.
 CHUNK, BRUTE = 1 << 17, 64
 
@@ -170,45 +172,72 @@ def _compare(leaves: np.ndarray, forest: Forest, pairs: np.ndarray) -> None:
         forest.link(i[near], j[near])
 
 
-def _walk_cell(prefix_bits: int):
-    def walk(key: tuple, rows: pa.Table) -> pa.Table:
-        side, way = key[0].as_py(), key[2].as_py()
-        leaves = np.unique(rows.column("fp").to_numpy().astype(np.int64).view(np.uint64))
-        if side:
-            leaves = np.sort(_swap(leaves))
-        split = None
-        if way >= 0:
-            bit = np.uint64(1) << np.uint64(BITS - 1 - way)
-            split = int(np.searchsorted(leaves, (leaves[0] & ~(bit | (bit - np.uint64(1)))) | bit)) if len(leaves) else 0
-        if way < 0:
-            member, root = trie_join(leaves, prefix_bits)
-        else:
-            member, root = trie_join(leaves, prefix_bits, split)
-        u, v = (_swap(leaves[x]) if side else leaves[x] for x in (member, root))
-        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
-
-    return walk
+def _walk_cell(key: tuple, rows: pa.Table) -> pa.Table:
+    """The links of one cell (side, prefix, way, depth)."""
+    side, _, way, depth = (k.as_py() for k in key)
+    leaves = np.unique(rows.column("fp").to_numpy().astype(np.int64).view(np.uint64))
+    if side:
+        leaves = np.sort(_swap(leaves))
+    split = None
+    if way >= 0:
+        bit = np.uint64(1) << np.uint64(BITS - 1 - way)
+        split = int(np.searchsorted(leaves, (leaves[0] & ~(bit | (bit - np.uint64(1)))) | bit)) if len(leaves) else 0
+    u, v = (_swap(leaves[x]) if side else leaves[x] for x in trie_join(leaves, depth, split))
+    return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
 
 def _swap(x: np.ndarray) -> np.ndarray:
     return (x << np.uint64(HALF)) | (x >> np.uint64(HALF))
 
 
+_CELL = ["side", "prefix", "way", "depth"]
+
+
+def _prefix(side: Column, depth: int) -> Column:
+    """The first ``depth`` bits of a fingerprint in the trie of a side."""
+    word = F.when(side == 0, F.col("fp")).otherwise(F.shiftleft("fp", HALF).bitwiseOR(F.shiftrightunsigned("fp", HALF)))
+    return F.shiftrightunsigned(word, BITS - depth) if depth else F.lit(0).cast("long")
+
+
+def _deeper(cells: DataFrame, above: int, depth: int) -> DataFrame:
+    """The cells at ``depth`` of fingerprints that are in the given ones at ``above``.
+
+    A cell of one node (way -1) has a cell for each node below it, and one for
+    each pair of them that differs in one bit: clearing that bit leads both
+    partners to the same cell. A cell of two nodes has spent the first half's
+    budget, so only equal ways down go on together.
+    """
+    prefix = _prefix(F.col("side"), depth)
+    cell = lambda p, way: F.struct(F.col("side"), p.alias("prefix"), way.cast("int").alias("way"), F.lit(depth).alias("depth"))
+    clear = lambda way: prefix.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(depth - 1) - way).cast("int"))))
+    fork = F.transform(F.sequence(F.lit(above), F.lit(depth - 1)), lambda w: cell(clear(w), w)) if depth > above else None
+    own = F.array(cell(prefix, F.lit(-1)))
+    nodes = own if fork is None else F.concat(own, fork)
+    found = F.when(F.col("way") < 0, nodes).otherwise(F.array(cell(clear(F.col("way")), F.col("way"))))
+    return cells.select("fp", F.explode(found).alias("c")).select("fp", "c.*")
+
+
 def links(distinct: DataFrame) -> DataFrame:
-    """Links (u, v) that connect the rows of ``distinct`` (fp) as all pairs within MAX_DIFF bits would."""
+    """Links (u, v) that connect the rows of ``distinct`` (fp) as all pairs within MAX_DIFF bits would.
+
+    Cells that hold more than CELL_LIMIT fingerprints are split further down
+    their trie, as far as the first half goes, so that a crowded prefix is not
+    one task's work.
+    """
     n = distinct.count()
     depth = min(HALF, max(0, (n // CELL_SIZE).bit_length()))
-
-    def cells(side: int):
-        word = F.col("fp") if side == 0 else F.shiftleft("fp", HALF).bitwiseOR(F.shiftrightunsigned("fp", HALF))
-        prefix = F.shiftrightunsigned(word, BITS - depth) if depth else F.lit(0).cast("long")
-        own = F.struct(F.lit(side).alias("side"), prefix.alias("prefix"), F.lit(-1).alias("way"))
-        # ~(1 << k) clears the bit that may differ: both partners reach the same cell
-        ways = [F.struct(F.lit(side).alias("side"), prefix.bitwiseAND(F.lit(~(1 << (depth - 1 - w))).cast("long")).alias("prefix"), F.lit(w).alias("way")) for w in range(depth)]
-        return [own, *ways]
-
-    spread = distinct.select("fp", F.explode(F.array(*cells(0), *cells(1))).alias("c")).select("fp", "c.*")
-    return spread.groupBy("side", "prefix", "way").applyInArrow(_walk_cell(depth), "u long, v long")
+    roots = distinct.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).withColumn("way", F.lit(-1))
+    cells, walked = _deeper(roots, 0, depth), []
+    while depth < HALF:
+        full = cut(cells.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL_LIMIT).drop("n"))
+        if full.isEmpty():
+            break
+        walked.append(cells.join(full, _CELL, "left_anti"))
+        below = min(HALF, depth + SPLIT_BITS)
+        cells, depth = cut(_deeper(cells.join(full, _CELL, "left_semi"), depth, below)), below
+    for part in walked:
+        cells = cells.unionByName(part)
+    return cells.groupBy(*_CELL).applyInArrow(_walk_cell, "u long, v long")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -48,9 +48,10 @@ def test_walks_find_all_links(seed):
     assert groups(forest.label.tolist()) == groups(brute_components(prints))
 
 
-@pytest.mark.parametrize("cell", [4, 64])
-def test_links_over_cells(spark, monkeypatch, cell):
+@pytest.mark.parametrize("cell, limit", [(4, 1 << 17), (64, 1 << 17), (64, 5), (4, 30)])
+def test_links_over_cells(spark, monkeypatch, cell, limit):
     monkeypatch.setattr(op, "CELL_SIZE", cell)
+    monkeypatch.setattr(op, "CELL_LIMIT", limit)
     monkeypatch.setattr(op, "CHUNK", 64)
     prints = fingerprints(7, 120)
     signed = np.array(prints, np.uint64).view(np.int64).tolist()
