@@ -33,6 +33,8 @@ WASTE = 1 / 128
 CACHE_WORDS = 200_000
 #: Pieces that are ranked together.
 SHARD_ROWS = 20_000
+#: Cut pieces that may be broadcast; with more, pieces and documents meet in a shuffle.
+BROADCAST_ROWS = 50_000
 
 
 def encoder(tokenizer: str):
@@ -317,7 +319,10 @@ def _greedy(tokens: DataFrame, over: DataFrame, rows: int, n_tokens: int, base:
     cuts = cuts.select("rid", "doc_id", "doc_tokens", F.col("ids_crc32").alias("known"), F.col("length").alias("whole"), (F.col("start") + lo - F.col("at")).alias("start"), (hi - lo).alias("length"), F.col("s.sequence_id").alias("sequence_id"), (lo - F.col("s.lo")).alias("offset"))
     cuts = cut(cuts)
     uncut = cuts.filter("length = whole").withColumn("ids_crc32", F.col("known")).select(*_PIECE.names)
-    again = cuts.filter("length < whole").join(tokens.select("rid", "ids"), "rid").select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")
+    again = cut(cuts.filter("length < whole").drop("known", "whole"))
+    # the ids of few documents are looked for without moving those of all
+    few = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    again = tokens.select(F.col("rid").alias("rid_"), "ids").join(few, F.col("rid_") == F.col("rid")).select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")
     return uncut.unionAll(again.mapInArrow(_piece_sums, _PIECE_DDL))
 
 
