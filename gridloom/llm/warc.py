@@ -31,6 +31,8 @@ from .common import cut, shared_folder, slices, table
 REVISIT_BYTES = 100
 #: Size at which a task goes on with another archive.
 ARCHIVE_BYTES = 256 << 20
+#: Captures of a range that is merged in one task, about.
+RANGE_ROWS = 200_000
 #: Repeated digests that may be broadcast; with more, pages and digests meet in a shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -88,8 +90,11 @@ class LoserTree:
 
 
 def _filesystem(folder: str):
+    """The store of a folder as executors reach it without a JVM: local and shared mounts, hdfs with its client library, S3, GCS and ABFS."""
     from pyarrow import fs
 
+    if folder.startswith(("s3a://", "s3n://")):
+        folder = "s3://" + folder[6:]
     if folder.startswith("file:/") and not folder.startswith("file://"):
         folder = "file://" + folder[5:]
     return fs.FileSystem.from_uri(folder)
@@ -233,7 +238,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def capture_histories(spark: SparkSession, archives: DataFrame, folder: str) -> DataFrame:
     """All captures of the listed archives, ordered by URL key, time and page over all partitions."""
     runs = cut(archives.mapInArrow(_runs(folder), _CAPTURE))
-    return runs.repartitionByRange("url_key", "captured", "page_id").mapInArrow(_merge, _CAPTURE)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
+    return runs.repartitionByRange(ranges, "url_key", "captured", "page_id").mapInArrow(_merge, _CAPTURE)
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
