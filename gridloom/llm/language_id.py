@@ -24,6 +24,8 @@ from .common import slices, table, worker_cache
 
 #: Labelled rows of each language that the classifiers are fitted on, about; more rows are sampled by a hash of their id.
 SAMPLE_ROWS = 2000
+#: Partitions of the sampled rows, each of which makes a table of counts for each language.
+FIT_PARTS = 32
 ORDERS, BUCKET_BITS = (1, 2, 3, 4), 16
 #: Bytes of text that are hashed at a time.
 BLOCK = 1 << 20
@@ -145,6 +147,7 @@ def fit(training: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     spark, top = training.sparkSession, 1 << 30
     bounds = spark.createDataFrame([(k, int(min(1.0, sample_rows / n) * top)) for k, n in counts.items()], "lang string, bound long")
     chosen = training.join(F.broadcast(bounds), "lang").filter(F.pmod(F.xxhash64("id"), F.lit(top)) < F.col("bound")).select("lang", "text")
+    chosen = chosen.repartition(FIT_PARTS)  # few partitions, so few tables of counts meet in a language's group
     rows = chosen.mapInArrow(_frequencies, "lang string, n long, sums binary").groupBy("lang").applyInArrow(_summed, "lang string, n long, sums binary").collect()
     rows = sorted(rows, key=lambda r: r["lang"])
     if not rows:
