@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import slices, table, worker_cache
+from .common import cut, slices, table, worker_cache
 from .language_id import held_out
 
 #: Labelled rows that the model is fitted on, about; more are sampled by a hash of their id.
@@ -278,7 +278,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     n = known.count()
     top = 1 << 30
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(top)) < int(min(1.0, sample_rows / max(1, n)) * top)).select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")  # SAMPLE_ROWS small rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
+    rows = cut(rows)  # SAMPLE_ROWS small rows, taken out of all documents once
     base = rows.agg(F.avg("toxic"), F.count(F.lit(1)), F.sum("toxic")).first()
     if not base[1] or base[2] in (0, base[1]):
         return Model(frozenset(), None, None, float(base[0] or 0.0))
