@@ -7,14 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 ROW_ID = "_row_id"
+#: Partitions whose first row ids stand in the plan as a map; with more, they are a small table.
+LITERAL_PARTS = 500
 
 
 def with_row_id(df: DataFrame, order_by: Sequence[Column | str] | str | None = None, name: str = ROW_ID) -> DataFrame:
     """``df`` with a dense row number by ``order_by``, which should order the rows fully.
 
-    Rows are range-partitioned and sorted; only the row counts of the partitions
-    meet in one place, never the rows. A frame that has the column keeps it.
+    Rows are range-partitioned, sorted and written once, because neither the
+    bounds of the ranges nor how small ones are put together is the same in
+    another run; only the row counts of the partitions meet in one place, never
+    the rows. A frame that has the column keeps it.
     """
     if name in df.columns:
         return df
@@ -22,16 +28,20 @@ def with_row_id(df: DataFrame, order_by: Sequence[Column | str] | str | None = N
         raise ValueError(f"rows have no order: give order_by, or a frame with a column {name}")
     keys = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
     at = F.monotonically_increasing_id()
-    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"_part": F.shiftright(at, 33), "_place": at.bitwiseAND(F.lit((1 << 33) - 1))})
+    placed = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"_part": F.shiftright(at, 33), "_place": at.bitwiseAND(F.lit((1 << 33) - 1))}))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each partition
-    start, starts = 0, {}
+    start, starts = 0, []
     for part, n in sorted(sizes):
-        starts[part] = start
+        starts.append((part, start))
         start += n
     if not starts:
         return df.withColumn(name, F.lit(0).cast("long"))
-    first = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])[F.col("_part").cast("long")]
-    return placed.withColumn(name, (first + F.col("_place")).cast("long")).drop("_part", "_place")
+    if len(starts) <= LITERAL_PARTS:
+        first = F.create_map(*[F.lit(x) for pair in starts for x in pair])[F.col("_part").cast("long")]
+    else:
+        placed = placed.join(F.broadcast(df.sparkSession.createDataFrame(starts, "_part long, _start long")), "_part")
+        first = F.col("_start")
+    return placed.withColumn(name, (first + F.col("_place")).cast("long")).drop("_part", "_place", "_start")
 
 
 def require_row_id(df: DataFrame, what: str) -> None:

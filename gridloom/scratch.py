@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -19,6 +19,14 @@ def scratch_folder(spark: SparkSession) -> str:
     return fs.makeQualified(path).toString()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once, into the checkpoint folder that all executors share: every later use sees the same partitions."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def put(spark: SparkSession, path: str, content: bytes) -> str:
     """Write bytes to a path in any store that Spark knows."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -25,6 +25,24 @@ def test_row_ids_are_dense(spark):
         with_row_id(spark.range(3))
 
 
+@pytest.mark.parametrize("literal_parts", [500, 1])
+def test_row_ids_are_dense_over_many_partitions(spark, monkeypatch, literal_parts):
+    monkeypatch.setattr("gridloom.rowid.LITERAL_PARTS", literal_parts)
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        df = with_row_id(spark.range(120_000).select(F.xxhash64("id").alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("wide")), "v")
+        found = df.agg(F.countDistinct(ROW_ID), F.max(ROW_ID), F.count("*")).first()
+        assert tuple(found) == (120_000, 119_999, 120_000)
+        rows = [r["v"] for r in df.orderBy(ROW_ID).limit(50_000).select("v").collect()]
+        assert rows == sorted(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_trim_null_bool(people):
     out = people.transform(X.trim()).transform(X.bool_as("Y", "N")).transform(X.null_as("-")).orderBy(ROW_ID)
     assert cells(out.select("name", "flag"))[:4] == [("n0", "Y"), ("n1", "-"), ("n2", "-"), ("n3", "N")]
