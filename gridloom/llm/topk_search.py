@@ -189,7 +189,7 @@ def topk(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     def groups(of: DataFrame, size: int, count: int) -> DataFrame:
         parts = max(1, -(-count // size))
         keyed = of.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(parts)))
-        return cut(keyed.repartition(parts, "part").groupBy("part").applyInArrow(_gather(dims), _PACKED))
+        return cut(keyed.repartition(parts, "part").groupBy("part").applyInArrow(_gather(dims), _PACKED)).coalesce(parts)  # a block is one row: no empty partitions go into the pairs
 
     queries = rows.filter(F.col("vec_id") % every == 0)
     n_queries = queries.count()
