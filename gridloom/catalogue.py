@@ -190,6 +190,14 @@ def xlsx_shared_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facade.read(spark, path, assoc=True, stringify_values=False, sheet="Parts")
 
 
+@_query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_extendedprice, l_returnflag, l_shipdate FROM lineitem")
+def xlsx_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W11-W12 for large frames: a folder of workbooks, written by executors and read as one frame."""
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate")
+    folder = facade.write_parts(lines, f"{scratch.scratch_folder(spark)}/books", "xlsx", rows=20_000, assoc=True)
+    return facade.read(spark, folder, format="xlsx", assoc=True, stringify_values=False)
+
+
 @_query("SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, s_acctbal FROM supplier")
 def ods_roundtrip_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed cells there and back."""

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .options import Options, make_options
 from .sinks import csv as csv_sink
 from .sinks import ods as ods_sink
+from .sinks import parts
 from .sinks import xlsx as xlsx_sink
 from .sinks.pieces import target
 from .sources import files
@@ -59,6 +60,20 @@ def write(df: DataFrame, path: str, options: Options | None = None, *, format: s
     return path
 
 
+def write_parts(df: DataFrame, folder: str, format: str, options: Options | None = None, *, rows: int = parts.DOCUMENT_ROWS, **changes: Any) -> str:
+    """Write a frame as a folder of documents of up to ``rows`` rows, all of it on executors; the folder.
+
+    A folder of workbooks reads back as one frame. CSV parts have no header.
+    """
+    kind, chosen = files.known_format(format), make_options(options, **changes)
+    files.check_path(folder)
+    if kind == "csv":
+        csv_sink.write_parts(df, folder, chosen, rows)
+    else:
+        parts.write_parts(df, folder, kind, chosen, rows)
+    return folder
+
+
 def write_bytes(df: DataFrame, format: str, options: Options | None = None, **changes: Any) -> bytes:
     """A frame as the bytes of a document."""
     out = io.BytesIO()

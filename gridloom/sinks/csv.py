@@ -91,9 +91,9 @@ def chunks(df: DataFrame, options: Options) -> Iterator[bytes]:
     yield "".join(x + options.eol for x in part).encode(encoding)
 
 
-def write_parts(df: DataFrame, folder: str, options: Options) -> None:
-    """Write a folder of CSV parts without a header, all of it on executors; cells keep their line breaks as they are."""
+def write_parts(df: DataFrame, folder: str, options: Options, rows: int | None = None) -> None:
+    """Write a folder of CSV parts without a header, of up to ``rows`` rows each, all of it on executors; cells keep their line breaks as they are."""
     if options.output_encoding or options.bom not in (False, True):
         raise ValueError("parts are UTF-8 without a byte order mark")
     cells, _ = leaves(df, options)
-    cells.select(line_column(cells, options).alias("value")).write.option("lineSep", options.eol).text(folder)
+    cells.select(line_column(cells, options).alias("value")).write.option("lineSep", options.eol).option("maxRecordsPerFile", rows or 0).text(folder)

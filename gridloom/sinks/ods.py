@@ -15,7 +15,7 @@ from ..functions import columns as C
 from ..options import Options
 from ..rowid import ROW_ID
 from ..sources.files import MIME_TYPES
-from .pieces import leaves, pieces
+from .pieces import joined, leaves, pieces
 from .xlsx import escape, escape_attribute, interval_us, sheet_name
 
 _NS = "urn:oasis:names:tc:opendocument:xmlns:"
@@ -75,22 +75,17 @@ def _header(rows: list[list[str]], options: Options) -> str:
     return "".join("<table:table-row>" + "".join(map(cell, row)) + "</table:table-row>" for row in rows)
 
 
-def content_chunks(df: DataFrame, options: Options) -> Iterator[str]:
-    """content.xml, piece by piece."""
-    cells, header = leaves(df, options)
+def shell(cells: DataFrame, header, options: Options) -> tuple[str, list[list[str]], str]:
+    """What stands before the rows of the table, its header rows, and what stands after."""
     rows = header.header_rows() if options.headers or options.assoc else []
-    yield f'{HEAD}<office:document-content {_SPACES} office:version="1.2"><office:automatic-styles>{_STYLES}</office:automatic-styles><office:body><office:spreadsheet><table:table table:name="{escape_attribute(sheet_name(options))}">'
-    yield _header(rows, options)
+    opening = f'{HEAD}<office:document-content {_SPACES} office:version="1.2"><office:automatic-styles>{_STYLES}</office:automatic-styles><office:body><office:spreadsheet><table:table table:name="{escape_attribute(sheet_name(options))}">'
+    return opening, rows, "</table:table></office:spreadsheet></office:body></office:document-content>"
+
+
+def row_column(cells: DataFrame, options: Options) -> Column:
+    """The XML of a row."""
     fields = [f for f in cells.schema.fields if f.name != ROW_ID]
-    line = F.concat(F.lit("<table:table-row>"), *[cell_column(F.col(f.name), f.dataType, options) for f in fields], F.lit("</table:table-row>"))
-    part: list[str] = []
-    for row in pieces(cells, line):
-        part.append(row)
-        if len(part) == 1000:
-            yield "".join(part)
-            part = []
-    yield "".join(part)
-    yield "</table:table></office:spreadsheet></office:body></office:document-content>"
+    return F.concat(F.lit("<table:table-row>"), *[cell_column(F.col(f.name), f.dataType, options) for f in fields], F.lit("</table:table-row>"))
 
 
 def _meta(options: Options) -> str:
@@ -105,7 +100,13 @@ def _meta(options: Options) -> str:
 
 def write(df: DataFrame, out: IO[bytes], options: Options) -> None:
     """Write a frame as a workbook with one table to a stream."""
-    sheet_name(options)
+    cells, header = leaves(df, options)
+    opening, rows, closing = shell(cells, header, options)
+    document(out, options, opening, rows, pieces(cells, row_column(cells, options)), closing)
+
+
+def document(out: IO[bytes], options: Options, opening: str, rows: list[list[str]], lines: Iterator[str], closing: str) -> None:
+    """Write encoded rows as a workbook to a stream."""
     mime = MIME_TYPES["ods"]
     files = "".join(f'<manifest:file-entry manifest:full-path="{p}" manifest:media-type="{t}"/>' for p, t in (("/", mime), ("content.xml", "text/xml"), ("meta.xml", "text/xml"), ("styles.xml", "text/xml")))
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, allowZip64=True) as package:
@@ -114,5 +115,7 @@ def write(df: DataFrame, out: IO[bytes], options: Options) -> None:
         package.writestr("meta.xml", _meta(options))
         package.writestr("styles.xml", f'{HEAD}<office:document-styles {_SPACES} office:version="1.2"><office:styles/></office:document-styles>')
         with package.open("content.xml", "w", force_zip64=True) as content:
-            for chunk in content_chunks(df, options):
+            content.write((opening + _header(rows, options)).encode("utf-8", "replace"))
+            for chunk in joined(lines):
                 content.write(chunk.encode("utf-8", "replace"))
+            content.write(closing.encode())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import islice
 from typing import IO, Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +49,12 @@ def pieces(cells: DataFrame, line: Column) -> Iterator[str]:
         yield row[0]
 
 
+def joined(lines: Iterator[str], rows: int = 1000) -> Iterator[str]:
+    """Encoded rows, many at a time."""
+    while part := list(islice(lines, rows)):
+        yield "".join(part)
+
+
 @contextmanager
 def target(spark: SparkSession, path: str) -> Iterator[IO[bytes]]:
     """A stream to a path, local or in any store that Spark knows; a partial file goes if writing fails."""

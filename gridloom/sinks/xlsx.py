@@ -18,7 +18,7 @@ from ..functions import columns as C
 from ..functions import values as V
 from ..options import Options
 from ..rowid import ROW_ID
-from .pieces import leaves, pieces
+from .pieces import joined, leaves, pieces
 
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 DOC_RELS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -180,9 +180,8 @@ def header_xml(rows: list[list[str]], options: Options, strings: Strings | None)
     return "".join(out)
 
 
-def sheet_chunks(df: DataFrame, options: Options, strings: Strings | None) -> Iterator[str]:
-    """The XML of the sheet, piece by piece."""
-    cells, header = leaves(df, options)
+def shell(cells: DataFrame, header, options: Options) -> tuple[str, list[list[str]], str]:
+    """What stands before the rows of the sheet, its header rows, and what stands after."""
     rows = header.header_rows() if options.headers or options.assoc else []
     pane = freeze_xml(options.freeze_pane)
     view = f'<sheetViews><sheetView tabSelected="1" workbookViewId="0">{pane}</sheetView></sheetViews>' if pane else ""
@@ -191,17 +190,9 @@ def sheet_chunks(df: DataFrame, options: Options, strings: Strings | None) -> It
         fields = [f for f in cells.schema.fields if f.name != ROW_ID]
         found = cells.agg(*[F.max(F.length(C.stringify(F.col(f.name), f.dataType))).alias(f.name) for f in fields]).first()
         lengths = [max(found[i] or 0, *(len(r[i]) for r in rows if i < len(r)), 0) for i in range(len(fields))]
-    yield f'{HEAD}<worksheet xmlns="{MAIN}" xmlns:r="{DOC_RELS}">{view}{widths_xml(lengths) if options.auto_width else ""}<sheetData>'
-    yield header_xml(rows, options, strings)
-    part: list[str] = []
-    for row in pieces(cells, row_column(cells, options)):
-        part.append(strings.resolve(row) if strings else row)
-        if len(part) == 1000:
-            yield "".join(part)
-            part = []
-    yield "".join(part)
     filter_ = f'<autoFilter ref="{options.autofilter.upper()}"/>' if options.autofilter and re.fullmatch(r"[A-Za-z]+\d+:[A-Za-z]+\d+", options.autofilter) else ""
-    yield f"</sheetData>{protection_xml(options.sheet_protection)}{filter_}</worksheet>"
+    opening = f'{HEAD}<worksheet xmlns="{MAIN}" xmlns:r="{DOC_RELS}">{view}{widths_xml(lengths) if options.auto_width else ""}<sheetData>'
+    return opening, rows, f"</sheetData>{protection_xml(options.sheet_protection)}{filter_}</worksheet>"
 
 
 def _styles() -> str:
@@ -232,8 +223,15 @@ def _core(options: Options) -> str:
 
 def write(df: DataFrame, out: IO[bytes], options: Options) -> None:
     """Write a frame as a workbook with one sheet to a stream."""
+    sheet_name(options)
+    cells, header = leaves(df, options)
+    opening, rows, closing = shell(cells, header, options)
+    document(out, options, opening, rows, pieces(cells, row_column(cells, options)), closing)
+
+
+def document(out: IO[bytes], options: Options, opening: str, rows: list[list[str]], lines: Iterator[str], closing: str) -> None:
+    """Write encoded rows as a workbook to a stream."""
     name = sheet_name(options)
-    freeze_xml(options.freeze_pane)
     strings = Strings() if options.shared_strings else None
     ml = "application/vnd.openxmlformats-officedocument"
     office = f"{DOC_RELS}"
@@ -252,8 +250,10 @@ def write(df: DataFrame, out: IO[bytes], options: Options) -> None:
         package.writestr("xl/workbook.xml", f'{HEAD}<workbook xmlns="{MAIN}" xmlns:r="{DOC_RELS}"><sheets><sheet name={quoteattr(name)} sheetId="1" r:id="rId1"/></sheets></workbook>')
         package.writestr("xl/_rels/workbook.xml.rels", _relationships(inner))
         with package.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as sheet:
-            for chunk in sheet_chunks(df, options, strings):
+            sheet.write((opening + header_xml(rows, options, strings)).encode("utf-8", "replace"))
+            for chunk in joined(map(strings.resolve, lines) if strings else lines):
                 sheet.write(chunk.encode("utf-8", "replace"))
+            sheet.write(closing.encode())
         if strings is not None:
             package.writestr("xl/sharedStrings.xml", strings.xml())
 

@@ -141,6 +141,19 @@ def test_xlsx_features(spark, matrix):
         facade.read_bytes(spark, content, sheet="Nope")
 
 
+@pytest.mark.parametrize("kind", ["xlsx", "ods"])
+def test_folder_of_documents(spark, tmp_path, kind):
+    rows = with_row_id(spark.range(95).selectExpr("id AS n", "concat('t', id) AS t", "id % 2 = 0 AS even").repartition(3), "n")
+    folder = facade.write_parts(rows, str(tmp_path / "parts"), kind, rows=10, assoc=True, shared_strings=True, bold_headers=True)
+    files = sorted(p.name for p in (tmp_path / "parts").iterdir())
+    assert len(files) >= 10 and all(f.endswith(kind) for f in files)
+    back = facade.read(spark, folder, format=kind, assoc=True, stringify_values=False)
+    assert sorted(map(tuple, back.collect())) == [(i, f"t{i}", i % 2 == 0) for i in range(95)]
+    first = [facade.read(spark, f"{folder}/{f}", assoc=True, stringify_values=False).agg({"n": "min"}).first()[0] for f in files[:3]]
+    assert first == sorted(first)
+    assert facade.write_parts(rows.limit(0), str(tmp_path / "none"), kind) and not [p for p in (tmp_path / "none").glob("*") if p.suffix]
+
+
 def test_sheet_parts():
     assert sink.freeze_xml("A2") == '<pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/>' and sink.freeze_xml("A1") == "" and "topRight" in sink.freeze_xml("B1")
     for bad in ("A0", "XFE1", "1A", "A1048577"):
