@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_value(spark: SparkSession, value):
+    """A function that returns ``value`` on executors, sent to each of them once.
+
+    A broadcast is pickled by reference to its classes; this one holds them by
+    value, as functions of this package do, so that workers need no copy of it.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(sent.value)
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, over all its tasks.
 

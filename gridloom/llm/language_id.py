@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, worker_cache
+from .common import shared_value, slices, table, worker_cache
 
 #: Labelled rows of each language that the classifiers are fitted on, about; more rows are sampled by a hash of their id.
 SAMPLE_ROWS = 2000
@@ -165,11 +165,11 @@ def fit(training: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
 def predict_columns(spark: SparkSession, model: Model):
     """A mapInArrow function that adds lang_pred, score and ambiguous to batches with a ``text`` column."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = shared_value(spark, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("language_id")  # lets go of what another operator has cached
-        known = shared.value
+        known = shared()
         for part in slices(batches):
             at = part.schema.names.index("_gl_text")
             found = [known.predict(t) for t in part.column(at).to_pylist()]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import cut, slices, table, worker_cache
+from .common import cut, shared_value, slices, table, worker_cache
 from .language_id import held_out
 
 #: Labelled rows that the model is fitted on, about; more are sampled by a hash of their id.
@@ -308,10 +308,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
 def _scorer(spark: SparkSession, model: Model):
     """A mapInArrow function that replaces the column ``_gl_text`` by ``_gl_score``."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = shared_value(spark, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = shared()
         for part in slices(batches):
             at = part.schema.names.index("_gl_text")
             rest = [i for i in range(part.num_columns) if i != at]
