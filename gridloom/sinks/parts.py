@@ -7,14 +7,12 @@ moves the documents into the target folder and drops the rest.
 
 from __future__ import annotations
 
-import base64
 import json
-import pickle
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from itertools import chain, islice
 
 from pyspark import TaskContext
@@ -22,9 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ..options import Options
+from ..options import Meta, Options
 from ..rowid import ROW_ID
+from . import ods, xlsx
+from .ods import document as ods_document
 from .pieces import leaves
+from .xlsx import document as xlsx_document
 
 #: Rows of a document; a sheet has room for 1,048,576.
 DOCUMENT_ROWS = 1_000_000
@@ -69,10 +70,10 @@ class _Parts(DataSourceArrowWriter):
         return fs.FileSystem.from_uri(folder.rstrip("/"))
 
     def write(self, batches: Iterator) -> _Written:
-        from . import ods, xlsx
-
-        kind, limit = self.said["kind"], int(self.said["rows"])
-        options: Options = pickle.loads(base64.b64decode(self.said["options"]))
+        limit, package = int(self.said["rows"]), json.loads(self.said["package"])
+        kind = self.said["kind"]
+        document = xlsx_document if kind == "xlsx" else ods_document
+        options = Options(**package | {"meta": Meta(**package["meta"])})
         opening, header, closing = json.loads(self.said["shell"])
         store, root = self._store()
         store.create_dir(f"{root}/{self.pending}")
@@ -80,7 +81,7 @@ class _Parts(DataSourceArrowWriter):
         names: list[str] = []
         while (first := next(lines, None)) is not None:
             with tempfile.SpooledTemporaryFile(SPOOL_BYTES) as spool:
-                (xlsx if kind == "xlsx" else ods).document(spool, options, opening, header, chain([first], islice(lines, limit - 1)), closing)
+                document(spool, options, opening, header, chain([first], islice(lines, limit - 1)), closing)
                 spool.seek(0)
                 name = f"part-{TaskContext.get().partitionId():06d}-{len(names):04d}-{uuid.uuid4().hex}.{kind}"
                 with store.open_output_stream(f"{root}/{self.pending}/{name}", compression=None) as out:
@@ -107,8 +108,6 @@ class _Parts(DataSourceArrowWriter):
 
 def write_parts(df: DataFrame, folder: str, kind: str, options: Options, rows: int = DOCUMENT_ROWS) -> None:
     """Write a folder of workbooks of up to ``rows`` rows each, in order of the row ids if there are any."""
-    from . import ods, xlsx
-
     if rows < 1:
         raise ValueError("a document must hold at least one row")
     sink = xlsx if kind == "xlsx" else ods
@@ -117,7 +116,7 @@ def write_parts(df: DataFrame, folder: str, kind: str, options: Options, rows: i
     if ROW_ID in cells.columns:
         cells = cells.repartitionByRange(ROW_ID).sortWithinPartitions(ROW_ID)
     shell = sink.shell(cells, header, options)
-    plain = options.but(header_normalizer=None, escape_formulas=False, headers=(), required_columns=(), columns=(), aliases={})
+    package = {"bold_headers": options.bold_headers, "shared_strings": options.shared_strings, "sheet": options.sheet, "meta": asdict(options.properties)}
     df.sparkSession.dataSource.register(DocumentParts)
-    said = {"kind": kind, "rows": str(rows), "shell": json.dumps(shell), "options": base64.b64encode(pickle.dumps(plain)).decode()}
+    said = {"kind": kind, "rows": str(rows), "shell": json.dumps(shell), "package": json.dumps(package)}
     cells.select(sink.row_column(cells, options).alias("line")).write.format("gridloom_parts").options(**said).mode("append").save(folder)
