@@ -203,8 +203,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows in no language: null texts and those without a letter. Columns stay as they were."""
+    """``docs`` without the rows in no language: null texts and those without a letter. Columns stay as they were.
+
+    Where no row has a language to learn from, texts with a letter stay too.
+    """
     model = fit(training_rows(docs))
+    if not model.languages:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     names = docs.columns
     numbered = docs.toDF(*[f"c{i}" for i in range(len(names))])
     numbered = numbered.withColumn("_gl_text", F.col(f"c{names.index('text')}"))

@@ -54,6 +54,11 @@ def test_stage(spark, messy, nothing):
     assert out.count() == both.count() - 5 and op.keep_identified(nothing).count() == 0
 
 
+def test_stage_with_nothing_to_learn(messy):
+    out = op.keep_identified(messy.drop("lang").selectExpr("*", "cast(null AS string) AS lang"))
+    assert out.count() == messy.count() - 5 and not {r["doc_id"] for r in out.collect()} & {10, 11, 12, 15}
+
+
 def test_codebooks():
     for n in (2, 3, 4, 6, 9, 20):
         code = op.codebook(n)
