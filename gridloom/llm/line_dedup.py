@@ -188,4 +188,28 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERY = ("op7_line_dedup", op7_line_dedup)
-ORACLE = None
+#: White space as Python splits at it.
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+ORACLE = f"""
+WITH d AS (
+  SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '{_SPACE}', ' ', 'g'))), lambda x: x <> '') AS ls FROM documents
+), l AS (
+  SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(list_transform(ls, lambda x: len(string_split(x, ' ')))) AS w FROM d
+), c AS (
+  SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM l
+), r AS (
+  SELECT a.doc_id, a.pos, b.pos + 1 AS stop FROM c a ASOF JOIN c b ON a.doc_id = b.doc_id AND a.upto - a.w + {MIN_WORDS} <= b.upto
+), k AS (
+  SELECT doc_id, pos, stop, row_number() OVER (PARTITION BY array_to_string(ls[pos + 1 : stop], chr(10)) ORDER BY doc_id, pos) AS copy FROM r JOIN d USING (doc_id)
+), s AS (
+  SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k WHERE copy > 1
+), i AS (
+  SELECT *, count(*) FILTER (before IS NULL OR pos > before) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM s
+), g AS (
+  SELECT doc_id, min(pos) AS lo, max(stop) AS hi FROM i GROUP BY doc_id, island
+), t AS (
+  SELECT doc_id, sum(hi - lo)::BIGINT AS removed_lines, string_agg(lo || '-' || (hi - 1), ',' ORDER BY lo) AS removed FROM g GROUP BY doc_id
+)
+SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(removed_lines, 0) AS removed_lines, coalesce(removed, '') AS removed FROM d LEFT JOIN t USING (doc_id)
+"""
