@@ -8,11 +8,15 @@ Suffixes whose prefix occurs once drop out, so later rounds handle only what is
 still repeated.
 
 A run counts once it has MIN_WORDS words, so from each line only the shortest
-such run matters: it is named by its length and the ranks of two overlapping
-prefixes, as in a sparse table. Suffixes of one name are an interval of the
-suffix array whose longest common prefix reaches that length. The first run of
-an interval stays and the lines of the others go; runs that overlap or touch
-join into the maximal repeated runs.
+such run is named, by its length and the ranks of two overlapping prefixes, as
+in a sparse table. Suffixes of one name are an interval of the suffix array
+whose longest common prefix reaches that length. The first run of an interval
+stays and the lines of the others go; runs that overlap or touch join.
+
+The lines of a maximal repeated run after its last shortest run hold under
+MIN_WORDS words. They stay, as the query's SQL has it, unless ``whole_runs`` is
+set: then the last shortest runs grow to their longest common prefix with an
+earlier copy.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, slices, table
@@ -86,7 +90,39 @@ def _ranks(pairs: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(starts), "part").select("a", "b", (F.col("start") + F.col("k")).alias("rank"))
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+def _place() -> Column:
+    """What orders equal runs: the smallest doc_id (null ids last), then the row, then the line."""
+    return F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid", "pos")
+
+
+def _is_later() -> Column:
+    return (F.col("uid") != F.col("first.uid")) | (F.col("pos") != F.col("first.pos"))
+
+
+def _tails(lines: DataFrame, named: DataFrame, later: DataFrame, least: int) -> DataFrame:
+    """(uid, pos, need) of later copies with ``need`` raised to the longest common prefix with an earlier copy.
+
+    Only the last copy of a row of copies can add lines: what a run has after
+    the line it starts with is a copy itself as long as it has ``least`` words.
+    """
+    name = ["need", "r1", "rank2"]
+    before = later.select("uid", (F.col("pos") - 1).alias("pos"))
+    ends = cut(later.join(before, ["uid", "pos"], "left_anti"))
+    runs = named.join(ends.select(*name).distinct(), name, "left_semi")
+    by = Window.partitionBy("uid").orderBy("pos")
+    ahead = lines.join(runs.select("uid").distinct(), "uid", "left_semi").select(
+        "uid", "pos", F.lead("need").over(by).alias("next"), F.collect_list(F.struct("a", "b")).over(by.rowsBetween(0, least)).alias("ids")
+    )
+    room = F.when(F.col("next") > 0, F.col("next")).otherwise(F.size("ids"))  # a longer run goes on from the next line
+    grown = runs.join(ahead, ["uid", "pos"]).withColumn("room", room.cast("long")).filter("room > need")
+    grown = grown.withColumn("long", F.explode(F.sequence(F.col("need") + 1, "room"))).withColumn("tail", F.slice("ids", (F.col("need") + 1).cast("int"), (F.col("long") - F.col("need")).cast("int")))
+    grown = cut(grown.select("uid", "doc_id", "pos", *name, "long", "tail"))
+    firsts = grown.groupBy(*name, "tail").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    copies = grown.join(ends.select("uid", "pos"), ["uid", "pos"], "left_semi").join(firsts, [*name, "tail"]).filter(_is_later())
+    return copies.groupBy("uid", "pos").agg(F.max("long").alias("need"))
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> tuple[DataFrame, DataFrame]:
     """A row for each of ``docs`` (uid, doc_id, key, n_lines) and the later copies (uid, pos, need): runs of ``need`` lines from ``pos`` on."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = cut(rows.mapInArrow(_lines(min_words), _LINES))
@@ -112,14 +148,16 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFram
     for more in names[1:]:
         named = named.unionAll(more)
     named = cut(named)
-    where = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid", "pos")
-    firsts = cut(named.groupBy("need", "r1", "rank2").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    later = named.join(firsts, ["need", "r1", "rank2"]).filter((F.col("uid") != F.col("first.uid")) | (F.col("pos") != F.col("first.pos")))
-    return heads, later.select("uid", "pos", "need")
+    firsts = cut(named.groupBy("need", "r1", "rank2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    later = named.join(firsts, ["need", "r1", "rank2"]).filter(_is_later())
+    if not whole_runs:
+        return heads, later.select("uid", "pos", "need")
+    later = cut(later.drop("first"))
+    return heads, later.select("uid", "pos", "need").unionByName(_tails(lines, named, later, min_words))
 
 
 def _spans(key: tuple, rows: pa.Table) -> pa.Table:
-    """Maximal runs of a document from its copies of shortest runs."""
+    """The runs of a document that go, joined where they overlap or touch."""
     starts, needs = rows.column("pos").to_numpy(), rows.column("need").to_numpy()
     order = np.argsort(starts, kind="stable")
     found: list[list[int]] = []
@@ -132,7 +170,7 @@ def _spans(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"uid": pa.array([key[0].as_py()], pa.int64()), "removed_lines": pa.array([sum(b - a for a, b in found)], pa.int64()), "removed": pa.array([text])})
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """(doc_id, n_lines, removed_lines, removed) of every row.
 
     Lines are compared with white space collapsed; blank lines are not counted,
@@ -141,13 +179,15 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     equal runs the one in the smallest doc_id stays (null ids last), within a
     document the first; of repeated rows the later ones lose their runs. Null,
     empty and blank texts have no lines; an empty table gives an empty result.
-    Only doc_id and text are read.
+    Only doc_id and text are read. Without ``whole_runs`` the last lines of a
+    maximal run, of under ``min_words`` words, stay in its later copies; with it
+    they go too.
     """
-    return _decided(docs, min_words).drop("key")
+    return _decided(docs, min_words, whole_runs).drop("key")
 
 
-def _decided(docs: DataFrame, min_words: int) -> DataFrame:
-    heads, later = repeated_runs(docs, min_words)
+def _decided(docs: DataFrame, min_words: int, whole_runs: bool) -> DataFrame:
+    heads, later = repeated_runs(docs, min_words, whole_runs)
     spans = later.groupBy("uid").applyInArrow(_spans, "uid long, removed_lines long, removed string")
     found = heads.join(spans, "uid", "left")
     return found.select("doc_id", "key", "n_lines", F.coalesce("removed_lines", F.lit(0)).alias("removed_lines"), F.coalesce("removed", F.lit("")).alias("removed"))
@@ -168,12 +208,12 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:-1])
 
 
-def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, ...) with later copies of repeated runs deleted from the texts.
 
     Rows that share id and text are cut alike, as the first of them is.
     """
-    decided = _decided(docs, min_words).filter("removed <> ''").groupBy(F.col("doc_id").alias("_gl_id"), F.col("key").alias("_gl_key")).agg(F.min("removed").alias("_gl_removed"))
+    decided = _decided(docs, min_words, whole_runs).filter("removed <> ''").groupBy(F.col("doc_id").alias("_gl_id"), F.col("key").alias("_gl_key")).agg(F.min("removed").alias("_gl_removed"))
     names = docs.columns
     keyed = docs.withColumn("_gl_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
     joined = keyed.join(decided, F.col("doc_id").eqNullSafe(F.col("_gl_id")) & (F.col("_gl_hash") == F.col("_gl_key")), "left")

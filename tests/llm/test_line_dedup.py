@@ -76,3 +76,37 @@ def test_texts_without_later_copies(spark, repeats, nothing):
 
 def test_shortest_runs():
     assert op.shortest_runs([3, 4, 5, 1], 7).tolist() == [2, 2, 0, 0] and op.shortest_runs([], 5).tolist() == []
+
+
+def brute_whole(rows, least):
+    """As ``brute``, with runs of any length that hold enough words."""
+    seen, gone = set(), []
+    for _, text in rows:
+        lines = [s for line in (text or "").split("\n") if (s := " ".join(line.split()))]
+        out = set()
+        for i in range(len(lines)):
+            words = 0
+            for j in range(i, min(len(lines), i + least + 40)):
+                words += len(lines[j].split())
+                if words >= least:
+                    if (run := tuple(lines[i : j + 1])) in seen:
+                        out.update(range(i, j + 1))
+                    seen.add(run)
+        gone.append(out)
+    return gone
+
+
+@pytest.mark.parametrize("least", [1, 20, 50])
+def test_whole_runs_against_brute_force(spark, repeats, least):
+    got = {r["doc_id"]: r for r in op.line_dedup(frame(spark, repeats).repartition(5), least, whole_runs=True).collect()}
+    for (i, _), gone in zip(repeats, brute_whole(repeats, least)):
+        assert spread(got[i]["removed"]) == gone and got[i]["removed_lines"] == len(gone)
+
+
+def test_tail_of_a_whole_run(spark):
+    text = prose(1, 60) + "\n" + prose(2, 5)
+    docs = frame(spark, [(1, text), (2, text), (3, text + "\n" + prose(3, 5)), (4, text + "\n" + prose(3, 5) + "\n" + prose(4, 5))])
+    got = {r["doc_id"]: r["removed"] for r in op.line_dedup(docs, whole_runs=True).collect()}
+    assert got == {1: "", 2: "0-1", 3: "0-1", 4: "0-2"}
+    assert {r["doc_id"]: r["text"] for r in op.remove_repeated_lines(docs, whole_runs=True).collect()}[4] == prose(4, 5)
+    assert [r["removed"] for r in op.line_dedup(docs).orderBy("doc_id").collect()] == ["", "0-0", "0-0", "0-0"]
