@@ -199,20 +199,29 @@ def read_csv_splits(spark: SparkSession, paths: str | list[str], options: Option
     in which blank lines do not count. Names, required columns, selection and
     aliases are the engine's own. The parser's column pruning stays off: with it,
     ragged rows could not be told from whole ones. With ``strict``, a row of
-    another width raises.
+    another width raises. Where names come from the files, a first pass over
+    their lines finds each header line, and one unlike the others raises.
     """
     if options.header_offset is not None or options.header_rows != 1 or not options.skip_empty_lines or options.input_encoding or options.limit is not None or options.offset:
         raise ValueError("read_csv_splits takes one header row at the top, UTF-8, and neither offset nor limit")
-    head = spark.read.text(paths, lineSep="\n").limit(1).collect()
-    line = head[0][0] if head else ""
-    text = csv.decode(line.encode("utf-8", "surrogatepass"), options).removeprefix("﻿").rstrip("\r")
+    lines = spark.read.text(paths, lineSep="\n").filter(F.col("value").rlike(r"[^\x00-\x20]"))
+    head = lines.limit(1).collect()
+    decode = lambda line: csv.decode(line.encode("utf-8", "surrogatepass"), options).removeprefix("﻿").rstrip("\r")
+    text = decode(head[0][0]) if head else ""
     separator = csv.separator_of(text, options)
-    first = next(csv.records(text.encode(), options.but(separator=separator)), [])
+    cells = lambda text: next(csv.records(text.encode(), options.but(separator=separator)), [])
+    first = cells(text)
     found = assemble(iter([first]), options)
     full = HeaderPaths.injected(options.headers, options.header_rows, options.header_normalizer) if options.headers else HeaderPaths.flat(first, options.header_normalizer) if options.assoc else None
     width = len(full) if full is not None else len(first)
     schema = T.StructType([*[T.StructField(f"_c{i}", T.StringType()) for i in range(width)], T.StructField("_bad", T.StringType())])
     own_header = options.assoc and not options.headers
+    if own_header:
+        placed = lines.select("_metadata.file_path", "value", F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"))
+        tops = placed.groupBy("file_path").agg(F.min_by("value", "place").alias("top")).select("top").distinct().collect()
+        for own in (HeaderPaths.flat(cells(decode(r["top"])), options.header_normalizer) for r in tops):
+            if own.paths != full.paths:
+                raise InvalidDocument("The files have different headers: " + ", ".join(full.names) + " and " + ", ".join(own.names))
     rows = spark.read.schema(schema).option("columnPruning", False).csv(
         paths, sep=separator, quote=options.enclosure, escape=options.escape or options.enclosure, header=own_header, enforceSchema=True, multiLine=multi_line,
         emptyValue="", columnNameOfCorruptRecord="_bad", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, encoding="UTF-8",

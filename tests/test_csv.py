@@ -141,6 +141,19 @@ def test_splits(spark, tmp_path):
         read_csv_splits(spark, str(path), make_options(assoc=True, strict=True)).collect()
 
 
+def test_splits_of_files_with_other_headers(spark, tmp_path):
+    for i, (bom, eol) in enumerate([("", "\n"), ("\ufeff", "\r\n"), ("\n", "\n")]):
+        (tmp_path / f"p{i}.csv").write_bytes(f"{bom}a,b{eol}{i},x{eol}".encode())
+    df = read_csv_splits(spark, str(tmp_path), make_options(assoc=True))
+    assert df.columns == ["a", "b"] and sorted(r["a"] for r in df.collect()) == ["0", "1", "2"]
+    for header in ("b,a", "a,c", "a;b"):
+        (tmp_path / "p3.csv").write_text(f"{header}\n1,2\n")
+        with pytest.raises(InvalidDocument, match="different headers"):
+            read_csv_splits(spark, str(tmp_path), make_options(assoc=True))
+        given = read_csv_splits(spark, str(tmp_path), make_options(assoc=True, headers=["a", "b"], separator=","))
+        assert given.columns == ["a", "b"]
+
+
 def test_folder_and_files(spark, tmp_path):
     for i in range(3):
         (tmp_path / f"p{i}.csv").write_text(f"a,b\n{i},x\n{i + 10},y\n")
