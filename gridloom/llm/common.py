@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,6 +42,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return fs.makeQualified(path).toString()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once, as a table in the shared checkpoint folder, and read it back.
+
+    As ``cut``, but what is read has the size of its files, where a checkpoint
+    keeps the estimate of its plan: loops of joins multiply that without end.
+    """
+    path = shared_folder(df.sparkSession, f"stored-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the given folder."""
     small_batches(spark)

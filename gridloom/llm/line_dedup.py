@@ -1,22 +1,24 @@
 """Dedup of repeated line runs by a suffix array over line ids.
 
-A document is a sequence of line ids (blank lines aside). Prefix doubling ranks
-the suffixes of all documents by their first 1, 2, 4, ... lines: a round joins
-each suffix' rank with the rank of the suffix as many lines further on, and
-numbers the distinct pairs in sorted order, by ranges over all executors.
-Suffixes whose prefix occurs once drop out, so later rounds handle only what is
-still repeated.
-
-A run counts once it has MIN_WORDS words, so from each line only the shortest
-such run is named, by its length and the ranks of two overlapping prefixes, as
-in a sparse table. Suffixes of one name are an interval of the suffix array
-whose longest common prefix reaches that length. The first run of an interval
-stays and the lines of the others go; runs that overlap or touch join.
-
-The lines of a maximal repeated run after its last shortest run hold under
-MIN_WORDS words. They stay, as the query's SQL has it, unless ``whole_runs`` is
-set: then the last shortest runs grow to their longest common prefix with an
-earlier copy.
+A document is a sequence of line ids (blank lines aside); all documents in order
+of their ids are one long sequence with a gap after each, so that a line is known
+by its place in it. Prefix doubling ranks the suffixes by their first 1, 2, 4,
+... lines: a round joins each suffix' rank with the rank of the suffix as many
+lines further on, and numbers the distinct pairs in sorted order, by ranges over
+all executors. Suffixes whose prefix occurs once drop out, so later rounds handle
+only what is still repeated.
+
+The ranks of the rounds then give the longest-common-prefix intervals. A suffix
+starts in the interval of the longest power of two that it shares with an earlier
+suffix. From the longest power down, intervals are split by the rank of what
+comes next: the members of a part share that many lines more, and all but its
+first go down into it. The first stays and stands for the part, so there are
+never more than two rows for a suffix that still moves. Where a suffix comes to
+rest is its longest common prefix with any earlier suffix: a maximal repeated
+run, unless the run of the line before covers it. Later copies are deleted.
+
+Documents with equal lines are one sequence: the first enters, the others are
+later copies as a whole.
 """
 
 from __future__ import annotations
@@ -26,17 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import cut, slices, stored, table
 
-#: Words that a repeated run must have.
-MIN_WORDS = 50
+#: Words that a repeated run must have: none is left for its shortness.
+MIN_WORDS = 1
 
-_LINES = "uid long, doc_id long, key string, pos long, a long, b long, need long"
-_NAMES = [f.split()[0] for f in _LINES.split(", ")]
-_KINDS = [pa.string() if "string" in f else pa.int64() for f in _LINES.split(", ")]
+_LINES = "uid long, doc_id long, key string, same binary, n_lines long, enough boolean, a array<long>, b array<long>, need array<int>"
 
 
 def split_lines(text: str | None) -> list[str]:
@@ -61,136 +61,150 @@ def text_key(text: str | None) -> str:
 
 
 def _lines(least: int):
-    """For each row one with pos -1, the text's key and its number of lines as ``need``, and one for each line."""
+    """A row for each text: a key of it, one of its lines, and the id and shortest run of each line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 64):
-            columns: list[list] = [[] for _ in _NAMES]
+            found = []
             for uid, doc_id, text in zip(*(c.to_pylist() for c in part.columns)):
                 lines = [s for _, s in content(text)]
                 digests = b"".join(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest() for s in lines)
-                a, b = np.frombuffer(digests, "<i8").reshape(-1, 2).T.tolist() if lines else ([], [])
-                need = shortest_runs([s.count(" ") + 1 for s in lines], least).tolist()
-                n = len(lines)
-                for c, v in zip(columns, ([uid] * (n + 1), [doc_id] * (n + 1), [text_key(text), *[None] * n], range(-1, n), [None, *a], [None, *b], [n, *need])):
-                    c.extend(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], names=_NAMES)
+                a, b = np.frombuffer(digests, "<i8").reshape(-1, 2).T
+                need = shortest_runs([s.count(" ") + 1 for s in lines], least)
+                found.append((uid, doc_id, text_key(text), hashlib.sha256(digests).digest(), len(lines), bool(len(need) and need[0]), a, b, need))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            names = [f.split()[0] for f in _LINES.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=names)
 
     return run
 
 
-def _ranks(pairs: DataFrame) -> DataFrame:
-    """(a, b, rank) of the pairs that occur more than once: their number in sorted order over all partitions."""
-    repeated = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b")
+def _ordered(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` computed once in the order of ``by``, with the partition that each row is in (part) and its number there (k)."""
     row = F.monotonically_increasing_id()
-    placed = cut(repeated.repartitionByRange("a", "b").sortWithinPartitions("a", "b").select("a", "b", F.shiftright(row, 33).alias("part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("k")))
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("size"))  # one row for each partition
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    return placed.join(F.broadcast(starts), "part").select("a", "b", (F.col("start") + F.col("k")).alias("rank"))
-
-
-def _place() -> Column:
-    """What orders equal runs: the smallest doc_id (null ids last), then the row, then the line."""
-    return F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid", "pos")
+    return cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"part": F.shiftright(row, 33), "k": row.bitwiseAND(F.lit((1 << 33) - 1))}))
 
 
-def _is_later() -> Column:
-    return (F.col("uid") != F.col("first.uid")) | (F.col("pos") != F.col("first.pos"))
-
-
-def _tails(lines: DataFrame, named: DataFrame, later: DataFrame, least: int) -> DataFrame:
-    """(uid, pos, need) of later copies with ``need`` raised to the longest common prefix with an earlier copy.
-
-    Only the last copy of a row of copies can add lines: what a run has after
-    the line it starts with is a copy itself as long as it has ``least`` words.
-    """
-    name = ["need", "r1", "rank2"]
-    before = later.select("uid", (F.col("pos") - 1).alias("pos"))
-    ends = cut(later.join(before, ["uid", "pos"], "left_anti"))
-    runs = named.join(ends.select(*name).distinct(), name, "left_semi")
-    by = Window.partitionBy("uid").orderBy("pos")
-    ahead = lines.join(runs.select("uid").distinct(), "uid", "left_semi").select(
-        "uid", "pos", F.lead("need").over(by).alias("next"), F.collect_list(F.struct("a", "b")).over(by.rowsBetween(0, least)).alias("ids")
-    )
-    room = F.when(F.col("next") > 0, F.col("next")).otherwise(F.size("ids"))  # a longer run goes on from the next line
-    grown = runs.join(ahead, ["uid", "pos"]).withColumn("room", room.cast("long")).filter("room > need")
-    grown = grown.withColumn("long", F.explode(F.sequence(F.col("need") + 1, "room"))).withColumn("tail", F.slice("ids", (F.col("need") + 1).cast("int"), (F.col("long") - F.col("need")).cast("int")))
-    grown = cut(grown.select("uid", "doc_id", "pos", *name, "long", "tail"))
-    firsts = grown.groupBy(*name, "tail").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    copies = grown.join(ends.select("uid", "pos"), ["uid", "pos"], "left_semi").join(firsts, [*name, "tail"]).filter(_is_later())
-    return copies.groupBy("uid", "pos").agg(F.max("long").alias("need"))
+def _starts(placed: DataFrame, size) -> DataFrame:
+    """(part, start): the sizes of the partitions before each; one row for each partition."""
+    sizes = placed.groupBy("part").agg(size.alias("size"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start")))
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> tuple[DataFrame, DataFrame]:
-    """A row for each of ``docs`` (uid, doc_id, key, n_lines) and the later copies (uid, pos, need): runs of ``need`` lines from ``pos`` on."""
+def _ranks(pairs: DataFrame) -> DataFrame:
+    """(a, b, rank, first) of the pairs of ``pairs`` (a, b, place) that occur more than once: their number in sorted order over all partitions and their first place."""
+    repeated = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).filter("n > 1").select("a", "b", "first")
+    placed = _ordered(repeated, "a", "b")
+    return placed.join(_starts(placed, F.count(F.lit(1))), "part").select("a", "b", (F.col("start") + F.col("k")).alias("rank"), "first")
+
+
+def _heads(every: DataFrame) -> DataFrame:
+    """(uid, doc_id, key, same, n_lines, enough, start): a row of each text with the place of its first line, in order of the ids (null ids last)."""
+    heads = every.select("uid", "doc_id", "key", "same", "n_lines", "enough", F.col("doc_id").isNull().alias("none"))
+    placed = _ordered(heads, "none", "doc_id", "uid")
+    # a gap after each text: no run goes on into the next one
+    upto = F.sum(F.col("n_lines") + 1).over(Window.partitionBy("part").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
+    inner = placed.withColumn("upto", F.coalesce(upto, F.lit(0))).join(_starts(placed, F.sum(F.col("n_lines") + 1)), "part")
+    return inner.select("uid", "doc_id", "key", "same", "n_lines", "enough", (F.col("start") + F.col("upto")).alias("start"))
+
+
+def _doubled(lines: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """By round k, the (place, rank) of suffixes whose first 2^k lines are repeated, and the suffixes that share 2^k lines, but no more powers, with an earlier one."""
+    levels, resting, h = [], [], 1
+    now = cut(lines.join(_ranks(lines), ["a", "b"]).select("start", "place", "need", "rank", "first"))
+    while not now.isEmpty():
+        levels.append(now.select("place", "rank"))
+        ahead = now.select((F.col("place") - h).alias("place"), F.col("rank").alias("b"))
+        pairs = now.withColumnRenamed("rank", "a").join(ahead, "place", "left")
+        ranks = _ranks(pairs.filter("b is not null").select("a", "b", "place")).withColumnRenamed("first", "next")
+        # without a rank ahead there is no such pair: a number of its own keeps such rows from meeting in one task
+        done = stored(pairs.withColumn("b", F.coalesce("b", -1 - F.col("place"))).join(ranks, ["a", "b"], "left"))
+        later = (F.col("place") != F.col("first")) & (F.col("next").isNull() | (F.col("next") == F.col("place")))
+        resting.append(done.filter(later).select("start", "place", "need", F.col("first").alias("node"), F.lit(h).cast("long").alias("length")))
+        now = done.filter("rank is not null").select("start", "place", "need", "rank", F.col("next").alias("first"))
+        h *= 2
+    return levels, resting
+
+
+def _intervals(levels: list[DataFrame], resting: list[DataFrame]) -> DataFrame:
+    """(start, place, need, length): every line that an earlier one equals, with its longest common prefix with any earlier suffix."""
+    found = resting[0]
+    if len(resting) > 1:
+        moving = resting[1]
+        for more in resting[2:]:
+            moving = moving.unionAll(more)
+        own = lambda nodes: nodes.select(F.lit(None).cast("long").alias("start"), F.col("node").alias("place"), F.lit(None).cast("int").alias("need"), "node", "length")
+        moving = moving.unionAll(own(moving.select("node", "length").distinct()))
+        for k in range(len(resting) - 2, -1, -1):
+            step = 1 << k
+            reach = levels[k].select(F.col("place").alias("at"), "rank")
+            open_ = moving.filter(F.col("length") > step)
+            seen = cut(open_.join(reach, F.col("place") + F.col("length") == F.col("at"), "left").drop("at").withColumn("rank", F.coalesce("rank", -1 - F.col("place"))))
+            parts = cut(seen.filter("rank >= 0").groupBy("node", "length", "rank").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).filter("n > 1").drop("n"))
+            goes = F.col("first").isNotNull() & (F.col("first") != F.col("place"))
+            down = seen.join(parts, ["node", "length", "rank"], "left").select(
+                "start", "place", "need", F.when(goes, F.col("first")).otherwise(F.col("node")).alias("node"), F.when(goes, F.col("length") + step).otherwise(F.col("length")).alias("length")
+            )
+            leads = own(parts.select(F.col("first").alias("node"), (F.col("length") + step).alias("length")))
+            moving = stored(down.unionAll(leads).unionAll(moving.filter(F.col("length") <= step)))
+        found = found.unionAll(moving.filter("place <> node"))
+    return found.select("start", "place", "need", "length")
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """A row for each of ``docs`` (doc_id, key, n_lines, start, copy: all of its lines are a later copy) and the maximal later copies in the others (start, place, length)."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = cut(rows.mapInArrow(_lines(min_words), _LINES))
-    heads = every.filter("pos < 0").select("uid", "doc_id", "key", F.col("need").alias("n_lines"))
-    lines = every.filter("pos >= 0").select("uid", "doc_id", "pos", "a", "b", "need")
-    longest = lines.agg(F.max("need")).first()[0] or 0
-    ranked = cut(lines.join(_ranks(lines.select("a", "b")), ["a", "b"]).select("uid", "doc_id", "pos", "need", "rank"))
-    names, h = [], 1
-    while h <= longest:
-        reach = F.col("need") - h
-        mine = ranked.filter((F.col("need") >= h) & (F.col("need") < 2 * h))
-        other = ranked.select(F.col("uid").alias("u2"), F.col("pos").alias("p2"), F.col("rank").alias("rank2"))
-        names.append(mine.join(other, (F.col("uid") == F.col("u2")) & (F.col("pos") + reach == F.col("p2"))).select("uid", "doc_id", "pos", "need", F.col("rank").alias("r1"), "rank2"))
-        if 2 * h > longest:
-            break
-        ahead = Window.partitionBy("uid").orderBy("pos").rangeBetween(h, h)
-        pairs = ranked.withColumns({"a": F.col("rank"), "b": F.first("rank").over(ahead)}).filter("b is not null").drop("rank")
-        ranked = cut(pairs.join(_ranks(pairs.select("a", "b")), ["a", "b"]).select("uid", "doc_id", "pos", "need", "rank"))
-        h *= 2
-    if not names:
-        return heads, lines.select("uid", "pos", "need").limit(0)
-    named = names[0]
-    for more in names[1:]:
-        named = named.unionAll(more)
-    named = cut(named)
-    firsts = cut(named.groupBy("need", "r1", "rank2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    later = named.join(firsts, ["need", "r1", "rank2"]).filter(_is_later())
-    if not whole_runs:
-        return heads, later.select("uid", "pos", "need")
-    later = cut(later.drop("first"))
-    return heads, later.select("uid", "pos", "need").unionByName(_tails(lines, named, later, min_words))
-
-
-def _spans(key: tuple, rows: pa.Table) -> pa.Table:
-    """The runs of a document that go, joined where they overlap or touch."""
-    starts, needs = rows.column("pos").to_numpy(), rows.column("need").to_numpy()
-    order = np.argsort(starts, kind="stable")
-    found: list[list[int]] = []
-    for s, n in zip(starts[order].tolist(), needs[order].tolist()):
-        if found and s <= found[-1][1]:
-            found[-1][1] = max(found[-1][1], s + n)
-        else:
-            found.append([s, s + n])
-    text = ",".join(f"{a}-{b - 1}" for a, b in found)
-    return pa.table({"uid": pa.array([key[0].as_py()], pa.int64()), "removed_lines": pa.array([sum(b - a for a, b in found)], pa.int64()), "removed": pa.array([text])})
-
-
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
+    heads = _heads(every)
+    firsts = heads.groupBy("same").agg(F.min("start").alias("least"))
+    heads = cut(heads.join(firsts, "same").withColumn("copy", F.col("start") != F.col("least")).drop("same", "least"))
+    at = F.posexplode(F.arrays_zip("a", "b", "need")).alias("pos", "line")
+    whole = every.select("uid", "a", "b", "need").join(heads.filter("not copy and n_lines > 0").select("uid", "start"), "uid").select("start", at)
+    lines = cut(whole.select("start", (F.col("start") + F.col("pos")).alias("place"), "line.need", "line.a", "line.b"))
+    levels, resting = _doubled(lines)
+    if not levels:
+        return heads, heads.select("start", F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("length")).limit(0)
+    by = Window.partitionBy("start").orderBy("place")
+    before = F.lag(F.col("place") + F.col("length")).over(by)
+    runs = _intervals(levels, resting).withColumn("covered", before)
+    # ends never go back, so a run that the one before covers ends where that does
+    maximal = runs.filter("(covered is null or covered < place + length) and need > 0 and length >= need")
+    return heads, maximal.select("start", "place", "length")
+
+
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_lines, removed_lines, removed) of every row.
 
     Lines are compared with white space collapsed; blank lines are not counted,
     so a run goes on over them. ``removed`` lists the removed runs as ranges of
-    non-blank lines from 0 on, as ``3-7,12-13``; it is empty if none are. Of
-    equal runs the one in the smallest doc_id stays (null ids last), within a
-    document the first; of repeated rows the later ones lose their runs. Null,
-    empty and blank texts have no lines; an empty table gives an empty result.
-    Only doc_id and text are read. Without ``whole_runs`` the last lines of a
-    maximal run, of under ``min_words`` words, stay in its later copies; with it
-    they go too.
+    non-blank lines from 0 on, as ``3-7,6-13``; it is empty if none are. They
+    are the longest runs that an earlier place has too and that hold
+    ``min_words`` words; runs with different earlier places may overlap.
+    ``removed_lines`` counts each line once. Earlier is a smaller doc_id (null
+    ids last), within a document a line before; of repeated rows the later ones
+    lose all lines. Null, empty and blank texts have no lines; an empty table
+    gives an empty result. Only doc_id and text are read. The runs of one text
+    are listed in one task, as the text itself is read in one.
     """
-    return _decided(docs, min_words, whole_runs).drop("key")
-
-
-def _decided(docs: DataFrame, min_words: int, whole_runs: bool) -> DataFrame:
-    heads, later = repeated_runs(docs, min_words, whole_runs)
-    spans = later.groupBy("uid").applyInArrow(_spans, "uid long, removed_lines long, removed string")
-    found = heads.join(spans, "uid", "left")
-    return found.select("doc_id", "key", "n_lines", F.coalesce("removed_lines", F.lit(0)).alias("removed_lines"), F.coalesce("removed", F.lit("")).alias("removed"))
+    return _decided(docs, min_words).select("doc_id", "n_lines", "removed_lines", "removed")
+
+
+def _decided(docs: DataFrame, min_words: int) -> DataFrame:
+    heads, runs = repeated_runs(docs, min_words)
+    end = F.col("place") + F.col("length")
+    before = F.lag(end).over(Window.partitionBy("start").orderBy("place"))
+    new = runs.withColumn("new", end - F.greatest(F.col("place"), F.coalesce(before, F.lit(0))))
+    span = F.struct((F.col("place") - F.col("start")).alias("lo"), (end - F.col("start") - 1).alias("hi"))
+    listed = new.groupBy("start").agg(F.sum("new").alias("lost"), F.array_sort(F.collect_list(span)).alias("spans"))
+    text = F.array_join(F.transform("spans", lambda s: F.concat(s["lo"], F.lit("-"), s["hi"])), ",")
+    found = heads.join(listed.select("start", "lost", text.alias("text")), "start", "left")
+    gone = F.col("copy") & F.col("enough")
+    return found.select(
+        "doc_id", "key", "start", "n_lines",
+        F.when(gone, F.col("n_lines")).otherwise(F.coalesce("lost", F.lit(0))).alias("removed_lines"),
+        F.when(gone, F.concat(F.lit("0-"), F.col("n_lines") - 1)).otherwise(F.coalesce("text", F.lit(""))).alias("removed"),
+    )
 
 
 def without_lines(text: str, removed: str) -> str:
@@ -208,12 +222,13 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:-1])
 
 
-def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` (doc_id, text, ...) with later copies of repeated runs deleted from the texts.
 
     Rows that share id and text are cut alike, as the first of them is.
     """
-    decided = _decided(docs, min_words, whole_runs).filter("removed <> ''").groupBy(F.col("doc_id").alias("_gl_id"), F.col("key").alias("_gl_key")).agg(F.min("removed").alias("_gl_removed"))
+    by = [F.col("doc_id").alias("_gl_id"), F.col("key").alias("_gl_key")]
+    decided = _decided(docs, min_words).groupBy(*by).agg(F.min_by("removed", "start").alias("_gl_removed")).filter("_gl_removed <> ''")
     names = docs.columns
     keyed = docs.withColumn("_gl_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
     joined = keyed.join(decided, F.col("doc_id").eqNullSafe(F.col("_gl_id")) & (F.col("_gl_hash") == F.col("_gl_key")), "left")
@@ -231,25 +246,24 @@ QUERY = ("op7_line_dedup", op7_line_dedup)
 #: White space as Python splits at it.
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
+# The query's floor is one word, so the SQL needs no words: the longest run from each line on that an earlier line begins, a line at a time.
 ORACLE = f"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '{_SPACE}', ' ', 'g'))), lambda x: x <> '') AS ls FROM documents
 ), l AS (
-  SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(list_transform(ls, lambda x: len(string_split(x, ' ')))) AS w FROM d
-), c AS (
-  SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM l
-), r AS (
-  SELECT a.doc_id, a.pos, b.pos + 1 AS stop FROM c a ASOF JOIN c b ON a.doc_id = b.doc_id AND a.upto - a.w + {MIN_WORDS} <= b.upto
-), k AS (
-  SELECT doc_id, pos, stop, row_number() OVER (PARTITION BY array_to_string(ls[pos + 1 : stop], chr(10)) ORDER BY doc_id, pos) AS copy FROM r JOIN d USING (doc_id)
-), s AS (
-  SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k WHERE copy > 1
-), i AS (
-  SELECT *, count(*) FILTER (before IS NULL OR pos > before) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM s
-), g AS (
-  SELECT doc_id, min(pos) AS lo, max(stop) AS hi FROM i GROUP BY doc_id, island
+  SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM d
+), grown AS (
+  SELECT doc_id, pos, 1 AS n, line AS name, count(*) OVER (PARTITION BY line) AS copies, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS copy FROM l
+  UNION ALL
+  SELECT g.doc_id, g.pos, g.n + 1, md5(g.name || chr(10) || l.line), count(*) OVER (PARTITION BY g.name, l.line), row_number() OVER (PARTITION BY g.name, l.line ORDER BY g.doc_id, g.pos)
+  FROM grown g JOIN l ON l.doc_id = g.doc_id AND l.pos = g.pos + g.n WHERE g.copies > 1
+), e AS (
+  SELECT doc_id, pos, max(n) AS n FROM grown WHERE copy > 1 GROUP BY doc_id, pos
+), w AS (
+  SELECT *, max(pos + n) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS covered FROM e
 ), t AS (
-  SELECT doc_id, sum(hi - lo)::BIGINT AS removed_lines, string_agg(lo || '-' || (hi - 1), ',' ORDER BY lo) AS removed FROM g GROUP BY doc_id
+  SELECT doc_id, sum(pos + n - greatest(pos, coalesce(covered, 0)))::BIGINT AS removed_lines, string_agg(pos || '-' || (pos + n - 1), ',' ORDER BY pos) AS removed
+  FROM w WHERE covered IS NULL OR covered < pos + n GROUP BY doc_id
 )
 SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(removed_lines, 0) AS removed_lines, coalesce(removed, '') AS removed FROM d LEFT JOIN t USING (doc_id)
 """

@@ -7,22 +7,19 @@ from gridloom.llm import line_dedup as op
 
 
 def brute(rows, least):
-    """Removed lines of each row, by its place, for rows in order."""
-    first, gone = set(), []
+    """Maximal later copies (first, last line) of each row, by its place, for rows in order."""
+    seen, found = set(), []
     for _, text in rows:
         lines = [s for line in (text or "").split("\n") if (s := " ".join(line.split()))]
-        out = set()
+        out, end = [], 0
         for i in range(len(lines)):
-            words, j = 0, i
-            while j < len(lines) and words < least:
-                words += len(lines[j].split())
-                j += 1
-            if words >= least:
-                if tuple(lines[i:j]) in first:
-                    out.update(range(i, j))
-                first.add(tuple(lines[i:j]))
-        gone.append(out)
-    return gone
+            n = max((j for j in range(i + 1, len(lines) + 1) if tuple(lines[i:j]) in seen), default=i)
+            if n > max(i, end) and sum(len(s.split()) for s in lines[i:n]) >= least:
+                out.append((i, n - 1))
+            end = max(end, n)
+            seen.update(tuple(lines[i:j]) for j in range(i + 1, len(lines) + 1))
+        found.append(out)
+    return found
 
 
 def spread(removed):
@@ -44,12 +41,33 @@ def repeats():
     return texts
 
 
+def written(runs):
+    return ",".join(f"{a}-{b}" for a, b in runs)
+
+
 @pytest.mark.parametrize("least", [1, 20, 50, 200])
 def test_against_brute_force(spark, repeats, least):
     got = {r["doc_id"]: r for r in op.line_dedup(frame(spark, repeats).repartition(5), least).collect()}
-    want = brute(repeats, least)
-    for (i, _), gone in zip(repeats, want):
-        assert spread(got[i]["removed"]) == gone and got[i]["removed_lines"] == len(gone)
+    for (i, _), runs in zip(repeats, brute(repeats, least)):
+        assert got[i]["removed"] == written(runs) and got[i]["removed_lines"] == len(spread(written(runs)))
+
+
+def test_nested_and_overlapping_runs(spark):
+    """Few ids, so that every suffix shares prefixes of many lengths with many others, its own text among them."""
+    r = random.Random(11)
+    texts = [(i, "\n".join(r.choice("abc") for _ in range(r.randint(1, 40)))) for i in range(60)]
+    texts += [(100 + i, "\n".join(["p q"] * n)) for i, n in enumerate([5, 1, 9, 9, 33])]
+    texts += [(200 + i, "\n".join([f"line {k}" for k in range(70)][i : 70 - 2 * i])) for i in range(12)]
+    got = {x["doc_id"]: x for x in op.line_dedup(frame(spark, texts).repartition(4)).collect()}
+    for (i, _), runs in zip(texts, brute(texts, 1)):
+        assert got[i]["removed"] == written(runs) and got[i]["removed_lines"] == len(spread(written(runs)))
+
+
+def test_rows_that_share_all(spark):
+    """Of repeated rows the texts stay as the first of them is cut."""
+    docs = frame(spark, [(1, "a\nb"), (2, "x\na\nb\ny"), (2, "x\na\nb\ny")])
+    assert sorted((r["doc_id"], r["text"]) for r in op.remove_repeated_lines(docs).collect()) == [(1, "a\nb"), (2, "x\ny"), (2, "x\ny")]
+    assert sorted(r["removed"] for r in op.line_dedup(docs).collect()) == ["", "0-3", "1-2"]
 
 
 def test_messy_and_empty(spark, messy, nothing):
@@ -58,7 +76,7 @@ def test_messy_and_empty(spark, messy, nothing):
     by = {}
     for r in got:
         by.setdefault(r["doc_id"], []).append(r)
-    assert by[10][0]["n_lines"] == by[11][0]["n_lines"] == by[12][0]["n_lines"] == 0 and [r["removed"] for r in by[13]] == [""]
+    assert by[10][0]["n_lines"] == by[11][0]["n_lines"] == by[12][0]["n_lines"] == 0 and [r["removed"] for r in by[13]] == ["0-0"]  # a line of 8
     assert sorted(r["removed_lines"] for r in by[3]) == [0, 1] and by[5][0]["removed"] == "0-0" and sorted(r["removed_lines"] for r in by[None]) == [0, 1]
     assert by[20][0]["removed_lines"] == by[21][0]["removed_lines"] == 0
 
@@ -67,7 +85,7 @@ def test_texts_without_later_copies(spark, repeats, nothing):
     docs = frame(spark, repeats)
     out = op.remove_repeated_lines(docs)
     assert out.schema == docs.schema and op.remove_repeated_lines(nothing).count() == 0
-    gone = brute(repeats, 50)
+    gone = [spread(written(runs)) for runs in brute(repeats, 1)]
     texts = {r["doc_id"]: r["text"] for r in out.collect()}
     for (i, text), g in zip(repeats, gone):
         kept = [s for k, s in enumerate(line for line in text.split("\n") if line.strip()) if k not in g]
@@ -78,35 +96,9 @@ def test_shortest_runs():
     assert op.shortest_runs([3, 4, 5, 1], 7).tolist() == [2, 2, 0, 0] and op.shortest_runs([], 5).tolist() == []
 
 
-def brute_whole(rows, least):
-    """As ``brute``, with runs of any length that hold enough words."""
-    seen, gone = set(), []
-    for _, text in rows:
-        lines = [s for line in (text or "").split("\n") if (s := " ".join(line.split()))]
-        out = set()
-        for i in range(len(lines)):
-            words = 0
-            for j in range(i, min(len(lines), i + least + 40)):
-                words += len(lines[j].split())
-                if words >= least:
-                    if (run := tuple(lines[i : j + 1])) in seen:
-                        out.update(range(i, j + 1))
-                    seen.add(run)
-        gone.append(out)
-    return gone
-
-
-@pytest.mark.parametrize("least", [1, 20, 50])
-def test_whole_runs_against_brute_force(spark, repeats, least):
-    got = {r["doc_id"]: r for r in op.line_dedup(frame(spark, repeats).repartition(5), least, whole_runs=True).collect()}
-    for (i, _), gone in zip(repeats, brute_whole(repeats, least)):
-        assert spread(got[i]["removed"]) == gone and got[i]["removed_lines"] == len(gone)
-
-
 def test_tail_of_a_whole_run(spark):
     text = prose(1, 60) + "\n" + prose(2, 5)
     docs = frame(spark, [(1, text), (2, text), (3, text + "\n" + prose(3, 5)), (4, text + "\n" + prose(3, 5) + "\n" + prose(4, 5))])
-    got = {r["doc_id"]: r["removed"] for r in op.line_dedup(docs, whole_runs=True).collect()}
-    assert got == {1: "", 2: "0-1", 3: "0-1", 4: "0-2"}
-    assert {r["doc_id"]: r["text"] for r in op.remove_repeated_lines(docs, whole_runs=True).collect()}[4] == prose(4, 5)
-    assert [r["removed"] for r in op.line_dedup(docs).orderBy("doc_id").collect()] == ["", "0-0", "0-0", "0-0"]
+    for least in (1, 50):
+        assert {r["doc_id"]: r["removed"] for r in op.line_dedup(docs, least).collect()} == {1: "", 2: "0-1", 3: "0-1", 4: "0-2"}
+        assert {r["doc_id"]: r["text"] for r in op.remove_repeated_lines(docs, least).collect()}[4] == prose(4, 5)
