@@ -24,6 +24,7 @@ SCALE = 1024
 #: Rows of a block, and queries that meet a block at a time.
 BLOCK_ROWS, CHUNK_QUERIES = 8192, 128
 K, EVERY = 10, 100
+TOO_LARGE = "topk: a component or one of the best scores does not fit 64 bits"
 
 
 def signed_digits(value: int) -> list[tuple[int, int]]:
@@ -39,21 +40,24 @@ def signed_digits(value: int) -> list[tuple[int, int]]:
     return out
 
 
+def bit_slices(values: np.ndarray, low: int, bits: int) -> np.ndarray:
+    """Bitmaps of the rows' values above ``low``: [attribute, bit, word of 64 rows]."""
+    n, dims = values.shape
+    shifted = (values - low).view(np.uint64)  # right modulo 2^64, whatever the span
+    plain = np.zeros((dims, bits, max(1, -(-n // 64)) * 8), np.uint8)
+    for b in range(bits):
+        packed = np.packbits(((shifted >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), axis=0, bitorder="little")
+        plain[:, b, : packed.shape[0]] = packed.T
+    return plain.view(np.uint64)
+
+
 class Block:
-    """Bitmaps of a block: slices[sign, attribute, bit] over rows that are sorted by id."""
-
-    def __init__(self, values: np.ndarray, low: int, bits: int):
-        self.n, self.dims = values.shape
-        self.low, self.bits = low, bits
-        words = max(1, -(-self.n // 64))
-        shifted = (values - low).astype(np.uint64)
-        plain = np.zeros((self.dims, bits, words * 8), np.uint8)
-        for b in range(bits):
-            packed = np.packbits(((shifted >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), axis=0, bitorder="little")
-            plain[:, b, : packed.shape[0]] = packed.T
-        plain = plain.view(np.uint64)
-        rows = np.zeros(words * 8, np.uint8)
-        packed = np.packbits(np.ones(self.n, np.uint8), bitorder="little")
+    """The stored bitmaps of ``n`` rows, and those of the complements: slices[sign, attribute, bit]."""
+
+    def __init__(self, plain: np.ndarray, n: int, low: int):
+        self.low, self.bits = low, plain.shape[1]
+        rows = np.zeros(plain.shape[2] * 8, np.uint8)
+        packed = np.packbits(np.ones(n, np.uint8), bitorder="little")
         rows[: len(packed)] = packed
         self.rows = rows.view(np.uint64)
         self.slices = np.stack([plain, ~plain & self.rows])
@@ -61,7 +65,7 @@ class Block:
     def scores(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Slices of the score of every row, least significant first, and the constant to add."""
         full = (1 << self.bits) - 1
-        constant, levels = self.low * int(query.sum()), {}
+        constant, levels = self.low * sum(query.tolist()), {}
         for d, q in enumerate(query.tolist()):
             for shift, sign in signed_digits(q):
                 if sign < 0:
@@ -107,10 +111,14 @@ class Block:
             ties = np.flatnonzero(np.unpackbits(maybe.view(np.uint8), bitorder="little"))[:need]
             rows = np.concatenate([rows, ties])
         word, bit = rows >> 6, (rows & 63).astype(np.uint64)
-        total = np.full(len(rows), constant, np.int64)
+        # the constant and the slices by themselves may be beyond 64 bits
+        total = [constant] * len(rows)
         for i, s in enumerate(slices):
-            total += ((s[word] >> bit) & np.uint64(1)).astype(np.int64) << i
-        return rows, total
+            set_ = ((s[word] >> bit) & np.uint64(1)).tolist()
+            total = [t + (one << i) for t, one in zip(total, set_)]
+        if any(not -(1 << 63) <= t < 1 << 63 for t in total):
+            raise ValueError(TOO_LARGE)
+        return rows, np.array(total, np.int64)
 
 
 def _matrix(lists: pa.ListArray, dims: int) -> np.ndarray:
@@ -123,41 +131,57 @@ def _matrix(lists: pa.ListArray, dims: int) -> np.ndarray:
     return out
 
 
-def _gather(dims: int):
-    """One row for a group of vectors: ids, uids and components as little-endian integers, by id."""
+def _index(dims: int, low: int, bits: int):
+    """One row for a block of vectors: ids and uids by id, and the bitmaps of their components."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        ids, uids = rows.column("vec_id").to_numpy(), rows.column("uid").to_numpy()
-        order = np.lexsort((uids, ids))
-        values = _matrix(rows.column("v"), dims)[order]
-        blob = lambda a: pa.array([np.ascontiguousarray(a).astype("<i8").tobytes()], pa.binary())
-        return pa.table({"ids": blob(ids[order]), "uids": blob(uids[order]), "v": blob(values)})
+        ids, uids, values = _by_id(rows, dims)
+        return _blobs(ids=ids, uids=uids, slices=bit_slices(values, low, bits))
 
     return run
 
 
-_PACKED = "ids binary, uids binary, v binary"
+def _asked(dims: int):
+    """One row for a chunk of queries: ids, uids and components."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        ids, uids, values = _by_id(rows, dims)
+        return _blobs(q_ids=ids, q_uids=uids, q_v=values)
+
+    return run
+
+
+def _by_id(rows: pa.Table, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, uids = rows.column("vec_id").to_numpy(), rows.column("uid").to_numpy()
+    order = np.lexsort((uids, ids))
+    return ids[order], uids[order], _matrix(rows.column("v"), dims)[order]
+
+
+def _blobs(**arrays: np.ndarray) -> pa.Table:
+    return pa.table({name: pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for name, a in arrays.items()})
 
 
 def _search(low: int, bits: int, dims: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        made: tuple[bytes, Block] | None = None
+        name, block, order, sorted_uids = None, None, None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, uids, v, q_ids, q_uids, q_v = (np.frombuffer(c[i].as_py(), "<i8") for c in batch.columns)
-                name = uids.tobytes()
-                if made is None or made[0] != name:
-                    made = name, Block(v.reshape(-1, dims), low, bits)
-                place = {u: r for r, u in enumerate(uids.tolist())}
-                for q_id, q_uid, q in zip(q_ids.tolist(), q_uids.tolist(), q_v.reshape(-1, dims)):
-                    rows, scores = made[1].best(q, k, place.get(q_uid, -1))
-                    found, points = ids[rows], scores
+                ids, uids, plain, q_ids, q_uids, q_v = (np.frombuffer(c[i].as_py(), "<i8") for c in batch.columns)
+                if name != uids.tobytes():
+                    name, block = uids.tobytes(), Block(plain.view(np.uint64).reshape(dims, bits, -1), len(ids), low)
+                    order = np.argsort(uids)
+                    sorted_uids = uids[order]
+                at = np.minimum(np.searchsorted(sorted_uids, q_uids), len(uids) - 1)
+                own = np.where(sorted_uids[at] == q_uids, order[at], -1).tolist()
+                for q_id, q_uid, q, itself in zip(q_ids.tolist(), q_uids.tolist(), q_v.reshape(-1, dims), own):
+                    rows, points = block.best(q, k, itself)
+                    found = ids[rows]
                     if (q_id, q_uid) in best:
                         before = best[q_id, q_uid]
                         found, points = np.concatenate([before[0], found]), np.concatenate([before[1], points])
-                    order = np.lexsort((found, -points))[:k]
-                    best[q_id, q_uid] = found[order], points[order]
+                    top = np.lexsort((found, ~points))[:k]
+                    best[q_id, q_uid] = found[top], points[top]
         for (q_id, q_uid), (found, points) in best.items():
             n = len(found)
             yield pa.RecordBatch.from_arrays([pa.array([q_id] * n, pa.int64()), pa.array([q_uid] * n, pa.int64()), pa.array(found, pa.int64()), pa.array(points, pa.int64())], names=["query_id", "q_uid", "vec_id", "score"])
@@ -173,11 +197,15 @@ def topk(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     component takes no part, nor does a row without id. A shorter vector counts
     as ending in zeros. A row is not a candidate for itself, but a repeated row
     is for its twin, and each twin of a query gives results. Ties go to the
-    smaller vec_id. Scores must fit 64 bits. An empty table gives an empty
-    result; other columns are not read.
+    smaller vec_id. A component that does not fit 64 bits when quantised, or a
+    score among the best of a block that does not, raises; others are exact. An
+    empty table gives an empty result; other columns are not read.
     """
     whole = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
-    rows = vectors.filter(F.coalesce(whole, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE)).alias("v"))
+    scaled = F.transform("embedding", lambda x: x.cast("double") * SCALE)
+    fits = F.forall(scaled, lambda x: F.abs(x) < float(1 << 63))
+    quantised = F.when(fits, F.transform(scaled, lambda x: F.floor(x))).otherwise(F.raise_error(F.lit(TOO_LARGE)).cast("array<bigint>"))
+    rows = vectors.filter(F.coalesce(whole, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), quantised.alias("v"))
     rows = cut(rows.withColumn("uid", F.monotonically_increasing_id()))
     n, dims, low, high = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
     empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -186,17 +214,18 @@ def topk(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     low, high = min(0, low), max(0, high)
     bits = max(1, (high - low).bit_length())
 
-    def groups(of: DataFrame, size: int, count: int) -> DataFrame:
+    def groups(of: DataFrame, size: int, count: int, gather, names: str) -> DataFrame:
         parts = max(1, -(-count // size))
         keyed = of.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(parts)))
-        return cut(keyed.repartition(parts, "part").groupBy("part").applyInArrow(_gather(dims), _PACKED)).coalesce(parts)  # a block is one row: no empty partitions go into the pairs
+        packed = keyed.repartition(parts, "part").groupBy("part").applyInArrow(gather, ", ".join(f"{n} binary" for n in names.split()))
+        return cut(packed).coalesce(parts)  # a block is one row: no empty partitions go into the pairs
 
     queries = rows.filter(F.col("vec_id") % every == 0)
     n_queries = queries.count()
     if not n_queries:
         return empty
-    index = groups(rows, BLOCK_ROWS, n)
-    asked = groups(queries, CHUNK_QUERIES, n_queries).toDF("q_ids", "q_uids", "q_v")
+    index = groups(rows, BLOCK_ROWS, n, _index(dims, low, bits), "ids uids slices")
+    asked = groups(queries, CHUNK_QUERIES, n_queries, _asked(dims), "q_ids q_uids q_v")
     # the stated query set against all rows, block by block
     found = index.crossJoin(asked).mapInArrow(_search(low, bits, dims, k), "query_id long, q_uid long, vec_id long, score long")
     order = Window.partitionBy("query_id", "q_uid").orderBy(F.col("score").desc(), "vec_id")

@@ -50,8 +50,21 @@ def test_signed_digits():
 def test_block_scores():
     r = np.random.default_rng(0)
     values = r.integers(-500, 700, (130, 5))
-    block = op.Block(values, -500, 11)
+    block = op.Block(op.bit_slices(values, -500, 11), 130, -500)
     for _ in range(5):
         q = r.integers(-900, 900, 5)
         rows, scores = block.best(q, 130, -1)
         assert sorted(rows.tolist()) == list(range(130)) and (scores == values[rows] @ q).all()
+
+
+def test_scores_near_64_bits(spark):
+    most = 2929687.5  # 3e9 when quantised: the products are 9.0e18, the slices and the constant by themselves more
+    rows = [(100, [most]), (1, [most]), (2, [-most]), (200, [-most]), (3, [most / 2]), (4, [0.0])]
+    assert sorted(as_rows(op.topk(table(spark, rows)))) == brute(rows)
+
+
+@pytest.mark.parametrize("vectors", [[[3.0e6], [3.0e6]], [[1.0e30], [1.0]]])
+def test_beyond_64_bits(spark, vectors):
+    rows = list(zip((100, 1), vectors))
+    with pytest.raises(Exception, match="64 bits"):
+        op.topk(table(spark, rows)).collect()
