@@ -9,7 +9,10 @@ which they differ and drops a pair as soon as its budget is exceeded.
 The top of each trie is walked by Spark: a fingerprint goes to the cell of its
 own prefix and to one cell for each bit of the prefix in which a partner may
 differ. The rest of a cell is walked in one task, level by level over arrays.
-A cell returns a spanning forest of its links, never all pairs.
+A cell that is still crowded where the first half ends is cut as a trie of its
+own: what is left of the budget, 3 bits or 2, leaves at most one bit to one of
+the second half's quarters. So each cell has a bound, whatever fingerprints are
+alike. A cell returns a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import cut, drop_rows, slices, table, worker_cache
 from .components import components
 
-BITS, HALF = 64, 32
+BITS, HALF, QUARTER = 64, 32, 16
 #: Differing bits that link two fingerprints, and those allowed in the first half of a trie.
 MAX_DIFF, HALF_DIFF = 3, 1
 SHINGLE_WORDS, SEED = 3, 42
@@ -173,16 +176,15 @@ def _compare(leaves: np.ndarray, forest: Forest, pairs: np.ndarray) -> None:
 
 
 def _walk_cell(key: tuple, rows: pa.Table) -> pa.Table:
-    """The links of one cell (side, prefix, way, depth)."""
-    side, _, way, depth = (k.as_py() for k in key)
-    leaves = np.unique(rows.column("fp").to_numpy().astype(np.int64).view(np.uint64))
-    if side:
-        leaves = np.sort(_swap(leaves))
+    """The links of one cell (side, prefix, way, turn, depth)."""
+    side, _, way, _, depth = (k.as_py() for k in key)
+    leaves = np.sort(_word(np.unique(rows.column("fp").to_numpy().astype(np.int64).view(np.uint64)), side))
     split = None
     if way >= 0:
         bit = np.uint64(1) << np.uint64(BITS - 1 - way)
         split = int(np.searchsorted(leaves, (leaves[0] & ~(bit | (bit - np.uint64(1)))) | bit)) if len(leaves) else 0
-    u, v = (_swap(leaves[x]) if side else leaves[x] for x in trie_join(leaves, depth, split))
+    # below the first half all bits of the cell's leaves but that of its way agree down to there
+    u, v = (_print(leaves[x], side) for x in trie_join(leaves, min(depth, HALF), split))
     return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
 
@@ -190,50 +192,79 @@ def _swap(x: np.ndarray) -> np.ndarray:
     return (x << np.uint64(HALF)) | (x >> np.uint64(HALF))
 
 
-_CELL = ["side", "prefix", "way", "depth"]
+def _swap_quarters(x: np.ndarray) -> np.ndarray:
+    """The quarters of the second half in the other order."""
+    low = np.uint64((1 << QUARTER) - 1)
+    return (x & ~np.uint64((1 << HALF) - 1)) | ((x & low) << np.uint64(QUARTER)) | ((x >> np.uint64(QUARTER)) & low)
+
+
+def _word(x: np.ndarray, side: int) -> np.ndarray:
+    """Fingerprints in the order of bits of a trie: halves swapped on odd sides, then quarters of the second one from side 2 on."""
+    x = _swap(x) if side & 1 else x
+    return _swap_quarters(x) if side & 2 else x
+
+
+def _print(x: np.ndarray, side: int) -> np.ndarray:
+    """The inverse of _word()."""
+    x = _swap_quarters(x) if side & 2 else x
+    return _swap(x) if side & 1 else x
+
+
+_CELL = ["side", "prefix", "way", "turn", "depth"]
 
 
 def _prefix(side: Column, depth: int) -> Column:
     """The first ``depth`` bits of a fingerprint in the trie of a side."""
-    word = F.when(side == 0, F.col("fp")).otherwise(F.shiftleft("fp", HALF).bitwiseOR(F.shiftrightunsigned("fp", HALF)))
+    word = F.when(side % 2 == 0, F.col("fp")).otherwise(F.shiftleft("fp", HALF).bitwiseOR(F.shiftrightunsigned("fp", HALF)))
+    if depth > HALF:
+        low = lambda c: c.bitwiseAND(F.lit((1 << QUARTER) - 1))
+        turned = word.bitwiseAND(F.lit(-1 << HALF)).bitwiseOR(F.shiftleft(low(word), QUARTER)).bitwiseOR(low(F.shiftrightunsigned(word, QUARTER)))
+        word = F.when(side < 2, word).otherwise(turned)
     return F.shiftrightunsigned(word, BITS - depth) if depth else F.lit(0).cast("long")
 
 
 def _deeper(cells: DataFrame, above: int, depth: int) -> DataFrame:
-    """The cells at ``depth`` of fingerprints that are in the given ones at ``above``.
-
-    A cell of one node (way -1) has a cell for each node below it, and one for
-    each pair of them that differs in one bit: clearing that bit leads both
-    partners to the same cell. A cell of two nodes has spent the first half's
-    budget, so only equal ways down go on together.
+    """The cells at ``depth`` of fingerprints that are in the given ones at ``above``; both are in the first half, or not above its end.
+
+    A cell of one node has a cell for each node below it, and one for each pair
+    of them that differs in one bit (the way in the first half, the turn beyond
+    it; -1 for none): clearing that bit leads both partners to the same cell. A
+    cell of two nodes has spent the budget of one bit, so only equal ways down
+    go on together. Where the second half begins there are two tries again, by
+    the quarter that comes first.
     """
+    if depth > HALF == above:
+        cells = cells.withColumn("side", F.explode(F.array(F.col("side"), F.col("side") + 2)))
+    clear = lambda of, bit: of.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(depth - 1) - bit).cast("int"))))
     prefix = _prefix(F.col("side"), depth)
-    cell = lambda p, way: F.struct(F.col("side"), p.alias("prefix"), way.cast("int").alias("way"), F.lit(depth).alias("depth"))
-    clear = lambda way: prefix.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(depth - 1) - way).cast("int"))))
-    fork = F.transform(F.sequence(F.lit(above), F.lit(depth - 1)), lambda w: cell(clear(w), w)) if depth > above else None
-    own = F.array(cell(prefix, F.lit(-1)))
-    nodes = own if fork is None else F.concat(own, fork)
-    found = F.when(F.col("way") < 0, nodes).otherwise(F.array(cell(clear(F.col("way")), F.col("way"))))
-    return cells.select("fp", F.explode(found).alias("c")).select("fp", "c.*")
+    prefix = F.when(F.col("way") < 0, prefix).otherwise(clear(prefix, F.col("way")))
+    mark = "way" if depth <= HALF else "turn"
+    own = lambda p, bit: F.struct(p.alias("prefix"), bit.cast("int").alias(mark))
+    forks = F.transform(F.sequence(F.lit(above), F.lit(depth - 1)), lambda b: own(clear(prefix, b), b)) if depth > above else F.array().cast(f"array<struct<prefix:bigint,{mark}:int>>")
+    marked = F.array(own(clear(prefix, F.col(mark)), F.col(mark)))
+    found = F.when(F.col(mark) < 0, F.concat(F.array(own(prefix, F.lit(-1))), forks)).otherwise(marked)
+    kept = [c for c in ("side", "way", "turn") if c != mark]
+    return cells.select("fp", *kept, F.explode(found).alias("c")).select("fp", *kept, "c.*", F.lit(depth).alias("depth")).select("fp", *_CELL)
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """Links (u, v) that connect the rows of ``distinct`` (fp) as all pairs within MAX_DIFF bits would.
 
     Cells that hold more than CELL_LIMIT fingerprints are split further down
-    their trie, as far as the first half goes, so that a crowded prefix is not
-    one task's work.
+    their trie, to the end of the next quarter beyond the first half: there the
+    fingerprints of a cell agree but in two bits of 48, so it holds at most
+    2^18.
     """
     n = distinct.count()
     depth = min(HALF, max(0, (n // CELL_SIZE).bit_length()))
-    roots = distinct.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).withColumn("way", F.lit(-1))
+    roots = distinct.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).withColumns({"way": F.lit(-1), "turn": F.lit(-1)})
     cells, walked = _deeper(roots, 0, depth), []
-    while depth < HALF:
+    while depth < HALF + QUARTER:
         full = cut(cells.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL_LIMIT).drop("n"))
         if full.isEmpty():
             break
         walked.append(cells.join(full, _CELL, "left_anti"))
-        below = min(HALF, depth + SPLIT_BITS)
+        below = min(HALF if depth < HALF else HALF + QUARTER, depth + SPLIT_BITS)
         cells, depth = cut(_deeper(cells.join(full, _CELL, "left_semi"), depth, below)), below
     for part in walked:
         cells = cells.unionByName(part)

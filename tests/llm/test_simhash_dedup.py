@@ -61,6 +61,33 @@ def test_links_over_cells(spark, monkeypatch, cell, limit):
     assert groups(forest.label.tolist()) == groups(brute_components(prints))
 
 
+def crowded(seed, n):
+    """Fingerprints that share a half or three quarters, but for a bit or none, and others near them."""
+    r = random.Random(seed)
+    high, low, three = r.getrandbits(32), r.getrandbits(32), r.getrandbits(48)
+    base = [high << 32 | r.getrandbits(32) for _ in range(n)] + [r.getrandbits(32) << 32 | low for _ in range(n)] + [three << 16 | r.getrandbits(16) for _ in range(n)]
+    return sorted({flip(r.choice(base), r.sample(range(64), r.randint(0, 4))) for _ in range(3 * n)} | set(base))
+
+
+@pytest.mark.parametrize("limit", [5, 40])
+def test_crowded_halves(spark, monkeypatch, limit):
+    """Cells above the limit where the first half ends are cut along the quarters."""
+    monkeypatch.setattr(op, "CELL_LIMIT", limit)
+    monkeypatch.setattr(op, "SPLIT_BITS", 16)
+    prints = crowded(3, 120)
+    signed = np.array(prints, np.uint64).view(np.int64).tolist()
+    found = as_rows(op.links(spark.createDataFrame([(s,) for s in signed], "fp long")))
+    forest, place = op.Forest(len(signed)), {s: i for i, s in enumerate(signed)}
+    forest.link(np.array([place[u] for u, _ in found]), np.array([place[v] for _, v in found]))
+    assert groups(forest.label.tolist()) == groups(brute_components(prints))
+
+
+@pytest.mark.parametrize("side", range(4))
+def test_orders_of_bits(side):
+    x = np.random.default_rng(1).integers(0, 2**63, 50).astype(np.uint64)
+    assert (op._print(op._word(x, side), side) == x).all() and (side == 0 or (op._word(x, side) != x).any())
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(5000, 5000), (70, 71), (71, 70)]
     got = dict(as_rows(components(spark.createDataFrame(edges, "u long, v long"))))
