@@ -7,15 +7,14 @@ digest and sends each piece to the peer whose address has those bits, where the
 pieces of all peers meet in a multiway merge that keeps the smallest row of
 every digest. After log2(nodes) bits each digest lives at one node. A digest
 occurs once in a run however many copies a text has, so large groups of copies
-weigh nothing in the exchange.
+weigh nothing in the exchange. Runs are flat arrays of 65 bytes a digest.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
-from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +25,10 @@ from .common import cut, drop_rows, table
 #: Address bits that one round settles: 2^3 peers exchange runs.
 RADIX_BITS = 3
 
-_RUN = pa.schema([("digest", pa.binary()), ("length", pa.int64()), ("id", pa.int64()), ("uid", pa.int64()), ("n", pa.int64())])
+#: Rows of a partition that wait to be merged into its run.
+BUFFER_ROWS = 1 << 20
+#: A row of a run: bytes of the digest, length of the text, whether the smallest row has no id, that id and row number, number of rows.
+RUN = np.dtype([("digest", "S32"), ("length", "<i8"), ("none", "?"), ("id", "<i8"), ("uid", "<i8"), ("n", "<i8")])
 _PIECE = "node long, run binary"
 _GROUP = "digest binary, length long, id long, uid long, n long"
 
@@ -36,77 +38,72 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _first(a: tuple, b: tuple) -> tuple:
-    """Of two (id, uid) the smaller; a null id comes last."""
-    return min(a, b, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+def merge(runs: list[np.ndarray]) -> np.ndarray:
+    """Multiway merge of runs: one row for each digest and length, with its smallest row (null ids last) and the sum of the counts.
 
-
-def merge(runs: list[list[tuple]]) -> list[tuple]:
-    """Multiway merge of sorted runs of (digest, length, id, uid, n), one row for each digest and length."""
-    out = []
-    for (digest, length), rows in groupby(heapq.merge(*runs, key=lambda r: r[:2]), key=lambda r: r[:2]):
-        best, n = None, 0
-        for _, _, row_id, uid, count in rows:
-            best = (row_id, uid) if best is None else _first(best, (row_id, uid))
-            n += count
-        out.append((digest, length, *best, n))
+    The sort is stable and merges stretches that are in order, as runs are.
+    """
+    rows = np.concatenate([np.empty(0, RUN), *runs])
+    rows = rows[np.lexsort((rows["uid"], rows["id"], rows["none"], rows["length"], rows["digest"]))]
+    if not len(rows):
+        return rows
+    new = np.concatenate([[True], (rows["digest"][1:] != rows["digest"][:-1]) | (rows["length"][1:] != rows["length"][:-1])])
+    starts = np.flatnonzero(new)
+    out = rows[starts]
+    out["n"] = np.add.reduceat(rows["n"], starts)
     return out
 
 
-def _pack(run: list[tuple]) -> bytes:
-    sink = pa.BufferOutputStream()
-    columns = list(zip(*run)) or [[]] * len(_RUN)
-    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _RUN)], schema=_RUN)
-    with pa.ipc.new_stream(sink, _RUN) as writer:
-        writer.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
+def _digests(run: np.ndarray) -> np.ndarray:
+    """The digests as rows of 32 bytes: a fixed string would lose zeros at its end."""
+    return np.ascontiguousarray(run["digest"]).view(np.uint8).reshape(-1, 32)
 
-def _unpack(blob: bytes) -> list[tuple]:
-    t = pa.ipc.open_stream(blob).read_all()
-    return list(zip(*(t.column(i).to_pylist() for i in range(t.num_columns))))
 
-
-def _pieces(node: int, run: list[tuple], bits: int, settled: int) -> list[tuple[int, bytes]]:
-    """The run cut by the address bits of the next round."""
+def _sent(node: int, run: np.ndarray, bits: int, settled: int) -> pa.Table:
+    """The run cut by the address bits of the next round: (node, run) for each peer."""
     width = min(RADIX_BITS, bits - settled)
     mask = ((1 << width) - 1) << settled
-    parts: dict[int, list[tuple]] = {}
-    for row in run:
-        to = (node & ~mask) | (int.from_bytes(row[0][:8], "big") & mask)
-        parts.setdefault(to, []).append(row)
-    return [(to, _pack(part)) for to, part in parts.items()]
+    address = _digests(run)[:, :8].copy().view(">u8").ravel().astype(np.int64) & mask
+    peers = np.unique(address).tolist()
+    pieces = [run[address == to].tobytes() for to in peers]
+    return pa.table({"node": pa.array([(node & ~mask) | to for to in peers], pa.int64()), "run": pa.array(pieces, pa.binary())})
 
 
-def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
-    columns = list(zip(*rows)) or [[]] * len(names)
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+def _groups(run: np.ndarray) -> pa.Table:
+    digest = pa.Array.from_buffers(pa.binary(32), len(run), [None, pa.py_buffer(_digests(run).tobytes())]).cast(pa.binary())
+    ids = pa.array(run["id"].copy(), mask=run["none"].copy())
+    return pa.table({"digest": digest, "length": run["length"].copy(), "id": ids, "uid": run["uid"].copy(), "n": run["n"].copy()})
 
 
-def _sent(pieces: list[tuple[int, bytes]]) -> pa.Table:
-    return _rows(pieces, ["node", "run"], [pa.int64(), pa.binary()])
+def _as_run(batch: pa.RecordBatch) -> np.ndarray:
+    """Rows (digest, length, id, uid), each as a row of a run that is not in order."""
+    out = np.empty(batch.num_rows, RUN)
+    digest, length, ids, uid = batch.columns
+    out["digest"] = np.frombuffer(b"".join(digest.to_pylist()), "S32")
+    out["none"] = ids.is_null().to_numpy(zero_copy_only=False)
+    out["length"], out["id"], out["uid"], out["n"] = length.to_numpy(), ids.fill_null(0).to_numpy(), uid.to_numpy(), 1
+    return out
 
 
 def _local_run(bits: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple, tuple] = {}
-        for batch in batches:
-            for digest, length, row_id, uid in zip(*(c.to_pylist() for c in batch.columns)):
-                known = best.get((digest, length))
-                best[digest, length] = (row_id, uid, 1) if known is None else (*_first(known[:2], (row_id, uid)), known[2] + 1)
+        run, waiting, size = np.empty(0, RUN), [], 0
+        for batch in (b for b in batches if b.num_rows):
+            waiting.append(_as_run(batch))
+            size += batch.num_rows
+            if size >= max(BUFFER_ROWS, len(run)):
+                run, waiting, size = merge([run, *waiting]), [], 0
+        run = merge([run, *waiting])
         node = TaskContext.get().partitionId() & ((1 << bits) - 1)
-        run = sorted(((*k, *v) for k, v in best.items()), key=lambda r: r[:2])
-        yield from _sent(_pieces(node, run, bits, 0)).to_batches()
+        yield from _sent(node, run, bits, 0).to_batches()
 
     return build
 
 
 def _merge_round(bits: int, settled: int):
     def at_node(key: tuple, pieces: pa.Table) -> pa.Table:
-        run = merge([_unpack(b) for b in pieces.column("run").to_pylist()])
-        if settled < bits:
-            return _sent(_pieces(key[0].as_py(), run, bits, settled))
-        return _rows(run, _RUN.names, list(_RUN.types))
+        run = merge([np.frombuffer(b, RUN) for b in pieces.column("run").to_pylist()])
+        return _sent(key[0].as_py(), run, bits, settled) if settled < bits else _groups(run)
 
     return at_node
 
