@@ -19,8 +19,14 @@ from .common import cut, table
 
 #: (verdict, host, path) of explicit rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Public suffixes of two labels; every other suffix is the last label.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
+#: Labels under which country domains register names: with a country's two letters they are one suffix, as in ``gov.uk`` or ``com.cn``.
+CATEGORY_LABELS = ("ac", "co", "com", "edu", "gen", "go", "gob", "gouv", "gov", "gv", "ltd", "me", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+#: Other suffixes of two labels, to be given for registries with names of their own; every other suffix is the last label.
+MORE_SUFFIXES: tuple[str, ...] = ()
+#: What hosts have as suffix that are addresses, not names.
+ADDRESSES = "#"
+#: Parts of a suffix's domains, which may be a third of all: its row meets each part in a task of its own.
+SUFFIX_PARTS = 32
 #: One-sided 95 % bound, and the bad rate that it must exceed to block.
 Z, BAD_RATE_LIMIT = 1.6448536269514722, 0.5
 #: Bounds of the intra-class correlation, 1 / (prior strength + 1).
@@ -49,20 +55,25 @@ def rule_columns(rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain and public suffix of a host, without its port."""
-    labels = F.split(F.regexp_replace(host, r":[0-9]*$", ""), r"\.")
+def _levels(host: Column, more: tuple[str, ...] = MORE_SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and public suffix of a host, without user, port and final dots; an IP address is a domain of its own."""
+    name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r"\.*(:[0-9]*)?$", "")
+    labels = F.split(name, r"\.")
     last = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - (n - 1), F.lit(1)), n), ".")
-    double = last(2).isin(*TWO_LABEL_SUFFIXES)
-    return F.when(double, last(3)).otherwise(last(2)), F.when(double, last(2)).otherwise(last(1))
+    double = last(2).rlike(rf"^({'|'.join(CATEGORY_LABELS)})\.[a-z][a-z]$")
+    if more:
+        double = double | last(2).isin(*more)
+    address = name.rlike(r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$")
+    domain, suffix = F.when(double, last(3)).otherwise(last(2)), F.when(double, last(2)).otherwise(last(1))
+    return F.when(address, name).otherwise(domain), F.when(address, ADDRESSES).otherwise(suffix)
 
 
-def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
+def host_reputation(outcomes: DataFrame, z: float = Z, more: tuple[str, ...] = MORE_SUFFIXES) -> DataFrame:
     """(host, n, bad, bad_rate, lower) for every host of ``outcomes`` (host, bad: 0, 1 or null for no label)."""
     hosts = outcomes.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("x"))
-    domain, suffix = _levels(F.col("host"))
+    domain, suffix = _levels(F.col("host"), more)
     hosts = cut(hosts.withColumns({"domain": domain, "suffix": suffix}))
-    domains = cut(hosts.groupBy("domain").agg(F.sum("n").alias("dn"), F.sum("x").alias("dx")))
+    domains = cut(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("x").alias("dx")))
     suffixes = cut(hosts.groupBy("suffix").agg(F.sum("n").alias("sn"), F.sum("x").alias("sx")))
     total = suffixes.agg(F.sum("sn"), F.sum("sx")).first()
     n, x = float(total[0] or 0), float(total[1] or 0)
@@ -76,31 +87,36 @@ def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
         return 1 / rho - 1
 
     s_suffix, s_domain, s_host = strength(suffixes, "sn", "sx"), strength(domains, "dn", "dx"), strength(hosts, "n", "x")
-    rated = hosts.join(suffixes, "suffix").join(domains, "domain")
     m_suffix = (F.col("sx") + s_suffix * p) / (F.col("sn") + s_suffix)
-    m_domain = (F.col("dx") + s_domain * m_suffix) / (F.col("dn") + s_domain)
-    rated = rated.withColumn("m", m_domain)
+    means = suffixes.select("suffix", m_suffix.alias("m_suffix"), F.explode(F.sequence(F.lit(0), F.lit(SUFFIX_PARTS - 1))).alias("part"))
+    parted = domains.withColumn("part", F.pmod(F.hash("domain"), F.lit(SUFFIX_PARTS))).join(means, ["suffix", "part"])
+    m_domain = (F.col("dx") + s_domain * F.col("m_suffix")) / (F.col("dn") + s_domain)
+    rated = hosts.select("host", "domain", "n", "x").join(parted.select("domain", m_domain.alias("m")), "domain")
     rated = rated.withColumns({"a": F.col("x") + s_host * F.col("m"), "b": F.col("n") - F.col("x") + s_host * (1 - F.col("m"))})
     mean = F.col("a") / (F.col("a") + F.col("b"))
     var = F.col("a") * F.col("b") / ((F.col("a") + F.col("b")) * (F.col("a") + F.col("b")) * (F.col("a") + F.col("b") + 1))
     return rated.select("host", F.col("n").cast("long").alias("n"), F.col("x").cast("long").alias("bad"), mean.alias("bad_rate"), (mean - z * F.sqrt(var)).alias("lower"))
 
 
-def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, limit: float = BAD_RATE_LIMIT) -> DataFrame:
+def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, limit: float = BAD_RATE_LIMIT, more: tuple[str, ...] = MORE_SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page.
 
     ``labels`` (page_id, bad) holds the known outcomes; a page with several
     counts as bad if any of them is, and null ids or outcomes say nothing. A
     null url, or one without ``://``, has an empty host, which is rated like any
     other host. A rule decides where one fits, the longest first; else a page is
-    blocked if the lower bound of its host's bad rate is above ``limit``.
+    blocked if the lower bound of its host's bad rate is above ``limit``. A
+    domain has one label more than its public suffix, which is the last label,
+    or two where those are a category and a country or one of ``more``; hosts
+    that are IP addresses are domains by themselves. Urls of any length are read
+    whole.
     Repeated rows come back as often as they came and an empty table gives an
     empty result; other columns of ``pages`` are not read.
     """
     known = labels.filter(F.col("page_id").isNotNull() & F.col("bad").isNotNull()).groupBy(F.col("page_id").alias("_label_id")).agg(F.max("bad").alias("bad"))
     at = split_url(pages.select("page_id", "url"))
     outcomes = at.select("page_id", "host").join(known, F.col("page_id") == F.col("_label_id"), "left").select("host", "bad")
-    poor = cut(host_reputation(outcomes).filter(F.col("lower") > limit).select(F.col("host").alias("_poor")))
+    poor = cut(host_reputation(outcomes, more=more).filter(F.col("lower") > limit).select(F.col("host").alias("_poor")))
     rule, verdict = rule_columns(rules)
     method = F.when(F.col("_poor").isNotNull(), "block").otherwise("allow")
     rated = at.join(poor, F.col("host") == F.col("_poor"), "left")
@@ -120,9 +136,6 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERY = ("op6_url_filter", op6_url_filter)
 
-_SUFFIX2 = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
-
-
 def _strength_sql(name: str, count: str, bad: str, level: str) -> str:
     """A CTE with the strength of a level's prior."""
     rho = f"CASE WHEN count(*) > 0 AND any_value(g.n) > count(*) THEN (sum({count} * ({bad} / {count} - g.p) * ({bad} / {count} - g.p)) / (any_value(g.p) * (1 - any_value(g.p))) - count(*)) / (any_value(g.n) - count(*)) ELSE {RHO_HIGH} END"
@@ -140,12 +153,12 @@ WITH r AS (
 ), h0 AS (
   SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS x FROM u LEFT JOIN l ON page_id = doc_id GROUP BY host
 ), h1 AS (
-  SELECT *, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS ls FROM h0
+  SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '\\.*(:[0-9]*)?$', '') AS bare, string_split(bare, '.') AS ls, regexp_full_match(bare, '[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}|\\[.*\\]') AS ip FROM h0
 ), h2 AS (
-  SELECT *, array_to_string(ls[-2:], '.') IN ({_SUFFIX2}) AS two FROM h1
+  SELECT *, array_to_string(ls[-2:], '.') IN (SELECT l || '.' || c FROM (SELECT unnest({list(CATEGORY_LABELS)}) AS l), (SELECT DISTINCT ls[-1] AS c FROM h1) WHERE regexp_full_match(c, '[a-z][a-z]')) AS two FROM h1
 ), h AS (
-  SELECT host, n, x, CASE WHEN two THEN array_to_string(ls[-3:], '.') ELSE array_to_string(ls[-2:], '.') END AS domain,
-    CASE WHEN two THEN array_to_string(ls[-2:], '.') ELSE ls[-1] END AS suffix FROM h2
+  SELECT host, n, x, CASE WHEN ip THEN bare WHEN two THEN array_to_string(ls[-3:], '.') ELSE array_to_string(ls[-2:], '.') END AS domain,
+    CASE WHEN ip THEN '{ADDRESSES}' WHEN two THEN array_to_string(ls[-2:], '.') ELSE ls[-1] END AS suffix FROM h2
 ), d AS (SELECT domain, sum(n) AS dn, sum(x) AS dx FROM h GROUP BY domain),
 s AS (SELECT suffix, sum(n) AS sn, sum(x) AS sx FROM h GROUP BY suffix),
 g AS (SELECT coalesce(sum(n), 0) AS n, (coalesce(sum(x), 0) + 1) / (coalesce(sum(n), 0) + 2) AS p FROM h),
