@@ -19,9 +19,11 @@ BATCH_BYTES = 8 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's ``spark.checkpoint.dir``; set a folder of our own only where none is named."""
+    """Keep the cluster's ``spark.checkpoint.dir``; set a folder of our own only where none is named and driver and executors are one process."""
     sc = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
 
 
@@ -101,7 +103,9 @@ def drop_rows(docs: DataFrame, key: Column, decisions: DataFrame) -> DataFrame:
 
     A row is known by its id and ``key``, a hash of its text, so the texts are
     not kept a second time. Rows that share both are repeats: if one of them
-    stays, one row comes back. Columns and other rows are untouched.
+    stays, one row comes back, that of the least text; which one it is among
+    rows of equal text that differ elsewhere is not defined. Columns and other
+    rows are untouched.
     """
     ident = [F.col("_gl_id"), F.col("_gl_key")]
     marked = docs.withColumns({"_gl_id": F.col("doc_id"), "_gl_key": key})
@@ -117,5 +121,7 @@ def drop_rows(docs: DataFrame, key: Column, decisions: DataFrame) -> DataFrame:
     kept = on(pairs, "left_anti")
     repeated = pairs.filter("stays = 1")
     if not repeated.isEmpty():
-        kept = kept.unionByName(on(repeated, "left_semi").dropDuplicates(["_gl_id", "_gl_key"]))
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        firsts = on(repeated, "left_semi").groupBy(*ident).agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("_gl_row"))
+        return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(firsts.select("_gl_row.*"))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -77,7 +77,7 @@ def codebook(n: int) -> np.ndarray:
     for seed in range(200):
         code = np.random.default_rng(seed).choice([-1, 1], (n, bits))
         code = code[:, np.abs(code.sum(axis=0)) < n]
-        apart = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
+        apart = int((code.shape[1] - (code @ code.T)[~np.eye(n, dtype=bool)].max()) // 2)
         if apart > distance:
             best, distance = code, apart
     return best

@@ -273,13 +273,17 @@ def learn_lexicon(rows: DataFrame) -> frozenset[str]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on about ``sample_rows`` labelled rows of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), none of them held out."""
+    """Fit on about ``sample_rows`` labelled rows of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), none of them held out.
+
+    Of rows that share a labelled id the least text counts, once. Words of more
+    than 40 letters are no lexicon words, so a text without spaces has none.
+    """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
     top = 1 << 30
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(top)) < int(min(1.0, sample_rows / max(1, n)) * top)).select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
-    rows = cut(rows)  # SAMPLE_ROWS small rows, taken out of all documents once
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = cut(rows.select("doc_id", "text", "toxic"))  # about SAMPLE_ROWS rows, however often an id repeats, taken out of all documents once
     base = rows.agg(F.avg("toxic"), F.count(F.lit(1)), F.sum("toxic")).first()
     if not base[1] or base[2] in (0, base[1]):
         return Model(frozenset(), None, None, float(base[0] or 0.0))
