@@ -234,6 +234,16 @@ def _grouped(rows: list[list[str]]) -> list[Path]:
     return paths
 
 
+def first_places(columns: Sequence[str], names: Sequence[str]) -> list[int]:
+    """The places of ``columns`` in a flat row of names, which may repeat: the first of equal names counts."""
+    place: dict[str, int] = {}
+    for i, name in enumerate(names):
+        place.setdefault(name, i)
+    if missing := [c for c in columns if c not in place]:
+        raise MissingColumn(missing)
+    return [place[c] for c in columns]
+
+
 def find_header(required: Any, header_rows: int, window: list[list[Any]], normalizer: Normalizer = None) -> HeaderPaths | None:
     """The schema of a full window of rows if it has all required columns."""
     if len(window) < header_rows:
