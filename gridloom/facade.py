@@ -55,7 +55,7 @@ def write(df: DataFrame, path: str, options: Options | None = None, *, format: s
     """Write a frame as one document; the path it went to."""
     kind = files.known_format(format or files.extension(path))
     chosen = make_options(options, **changes)
-    with target(df.sparkSession, path) as out:
+    with target(df.sparkSession, path, chosen.temp_path) as out:
         write_stream(df, out, kind, chosen)
     return path
 

@@ -8,10 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """A temp folder of this machine, where driver and executors are one process."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="gridloom-")
+
+
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or a local one where that is unset; it goes when the session's JVM ends."""
+    """A new folder below ``spark.checkpoint.dir``; it goes when the session's JVM ends.
+
+    Where that is unset a local session takes a temp folder and another raises.
+    """
     jvm = spark.sparkContext._jvm
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own_folder(spark)}"
     path = jvm.org.apache.hadoop.fs.Path(f"{base}/gridloom-{uuid.uuid4().hex}")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(path)
@@ -23,7 +33,7 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` computed once, into the checkpoint folder that all executors share: every later use sees the same partitions."""
     spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
+        sc.setCheckpointDir(_own_folder(spark))
     return df.checkpoint(eager=True)
 
 

@@ -80,7 +80,7 @@ class _Parts(DataSourceArrowWriter):
         lines = chain.from_iterable(batch.column(0).to_pylist() for batch in batches)
         names: list[str] = []
         while (first := next(lines, None)) is not None:
-            with tempfile.SpooledTemporaryFile(SPOOL_BYTES) as spool:
+            with tempfile.SpooledTemporaryFile(SPOOL_BYTES, dir=package["temp_path"]) as spool:
                 document(spool, options, opening, header, chain([first], islice(lines, limit - 1)), closing)
                 spool.seek(0)
                 name = f"part-{TaskContext.get().partitionId():06d}-{len(names):04d}-{uuid.uuid4().hex}.{kind}"
@@ -116,7 +116,7 @@ def write_parts(df: DataFrame, folder: str, kind: str, options: Options, rows: i
     if ROW_ID in cells.columns:
         cells = cells.repartitionByRange(ROW_ID).sortWithinPartitions(ROW_ID)
     shell = sink.shell(cells, header, options)
-    package = {"bold_headers": options.bold_headers, "shared_strings": options.shared_strings, "sheet": options.sheet, "meta": asdict(options.properties)}
+    package = {"bold_headers": options.bold_headers, "shared_strings": options.shared_strings, "sheet": options.sheet, "temp_path": options.temp_path, "meta": asdict(options.properties)}
     df.sparkSession.dataSource.register(DocumentParts)
     said = {"kind": kind, "rows": str(rows), "shell": json.dumps(shell), "package": json.dumps(package)}
     cells.select(sink.row_column(cells, options).alias("line")).write.format("gridloom_parts").options(**said).mode("append").save(folder)

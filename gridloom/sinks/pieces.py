@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 from collections.abc import Iterator
 from contextlib import contextmanager
 from itertools import islice
@@ -56,17 +58,18 @@ def joined(lines: Iterator[str], rows: int = 1000) -> Iterator[str]:
 
 
 @contextmanager
-def target(spark: SparkSession, path: str) -> Iterator[IO[bytes]]:
-    """A stream to a path, local or in any store that Spark knows; a partial file goes if writing fails."""
+def target(spark: SparkSession, path: str, temp_path: str | None = None) -> Iterator[IO[bytes]]:
+    """A stream to a path, local or in any store that Spark knows; a partial file goes if writing fails.
+
+    A local file is built beside the path, or in the folder ``temp_path``.
+    """
     check_path(path)
     if "://" not in path and not path.startswith("file:"):
-        import os
-
-        part = f"{path}.part-{os.getpid()}"
+        part = os.path.join(temp_path or os.path.dirname(path), f"{os.path.basename(path)}.part-{os.getpid()}")
         try:
             with open(part, "wb") as out:
                 yield out
-            os.replace(part, path)
+            shutil.move(part, path)
         finally:
             if os.path.exists(part):
                 os.unlink(part)

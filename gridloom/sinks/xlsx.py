@@ -87,7 +87,7 @@ def freeze_xml(cell: str | None) -> str:
 def widths_xml(lengths: list[int] | None) -> str:
     """Column widths by the longest text of each column."""
     if not lengths:
-        return '<cols><col min="1" max="1024" width="11.5" style="0" customWidth="false" hidden="false" collapsed="false"/></cols>'
+        return '<cols><col min="1" max="1024" width="11.5"/></cols>'
     cols = "".join(f'<col min="{i}" max="{i}" width="{max(8, round(n * 1.2 + 2, 2)):g}" customWidth="1"/>' for i, n in enumerate(lengths, 1))
     return f"<cols>{cols}</cols>"
 
@@ -100,6 +100,8 @@ def _text(c: Column) -> Column:
     return F.concat(F.lit('<c t="inlineStr"><is><t xml:space="preserve">'), C.escape_xml(c), F.lit("</t></is></c>"))
 
 
+#: Distinct strings that the writer of a document keeps in memory, of up to SHARED_BYTES each.
+STRINGS_LIMIT = 1_000_000
 #: In front of a text that goes to the shared strings; no XML text holds it.
 _SHARE = "\x01"
 
@@ -144,12 +146,15 @@ def row_column(cells: DataFrame, options: Options) -> Column:
 
 
 class Strings:
-    """Shared strings in the order in which they are first met."""
+    """Shared strings in the order in which they are first met; once there are STRINGS_LIMIT, new ones stand in their cells."""
 
     def __init__(self) -> None:
         self.index: dict[str, int] = {}
 
     def cell(self, text: str) -> str:
+        at = self.index.get(text)
+        if at is None and len(self.index) >= STRINGS_LIMIT:
+            return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
         return f'<c t="s"><v>{self.index.setdefault(text, len(self.index))}</v></c>'
 
     def resolve(self, row: str) -> str:

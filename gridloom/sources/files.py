@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import UnsupportedFormat
 
@@ -55,7 +56,7 @@ def ensure_extension(name: str, kind: str) -> str:
 def binary_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, length, content) of whole files; read by Spark, so any store that it knows will do."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return spark.read.format("binaryFile").load([check_path(p) for p in paths]).select("path", "length", "content")
+    return spark.read.format("binaryFile").load([check_path(p) for p in paths]).select(F.col("_metadata.file_path").alias("path"), "length", "content")
 
 
 def format_of(spark: SparkSession, paths: str | list[str]) -> str:
@@ -67,7 +68,5 @@ def format_of(spark: SparkSession, paths: str | list[str]) -> str:
             return name if name in FORMATS else "csv"
         if name in ("xls", "xlsm", "xlsb", "doc", "pdf", "json", "parquet"):
             raise UnsupportedFormat(f"Unsupported format: {name}")
-    from pyspark.sql import functions as F
-
     head = binary_files(spark, paths).select(F.substring("content", 1, SNIFF_BYTES).alias("head")).first()
     return sniff(bytes(head["head"])) if head else "csv"

@@ -10,22 +10,26 @@ be read in splits by ``read_csv_splits``.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from datetime import datetime
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import EngineError, InvalidDocument, decode_error, encode_error
 from ..functions import values as V
-from ..options import Options
+from ..options import Options, detect_bom
 from ..plans.headers import HeaderPaths
 from ..rowid import ROW_ID
+from ..scratch import written
 from . import csv, ods, xlsx
-from .files import binary_files
+from .files import binary_files, check_path
 from .rows import Assembled, Row, Wanted, assemble
 
 BATCH_ROWS = 4096
@@ -189,32 +193,161 @@ def frame(files: DataFrame, kind: str, options: Options, row_id: bool = False, f
 
 def read_files(spark: SparkSession, paths: str | list[str], kind: str, options: Options, row_id: bool = False, file_column: bool = False) -> DataFrame:
     """The documents at paths as one frame."""
+    if kind == "csv":
+        paths = [check_path(p) for p in ([paths] if isinstance(paths, str) else paths)]
+        heads = file_heads(spark, spark.read.text(paths).inputFiles())
+        if (layout := split_layout(spark, paths, heads, options)) is not None:
+            return split_rows(spark, paths, layout, options, row_id, file_column)
+        if heads and (most := max(size for size, _ in heads)) > WHOLE_FILE_BYTES:
+            raise InvalidDocument(f"A CSV file of {most} bytes cannot be read in splits with these options or signs, and whole files end at {WHOLE_FILE_BYTES} bytes")
     return frame(binary_files(spark, paths), kind, options, row_id, file_column)
 
 
+#: The largest file that one row of a frame can hold.
+WHOLE_FILE_BYTES = 2**31 - 1024
+#: Bytes of a file's head: the sample of the separator, at up to four bytes a sign.
+HEAD_BYTES = 4 * csv.SAMPLE_BYTES
+_MARK = "\x02"
+
+
+def file_heads(spark: SparkSession, files: list[str]) -> list[tuple[int, bytes]]:
+    """(size, first bytes) of files, read by the driver some at a time."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def head(name: str) -> tuple[int, bytes]:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        fs = path.getFileSystem(conf)
+        size = fs.getFileStatus(path).getLen()
+        source = fs.open(path)
+        try:
+            return size, bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(source, min(size, HEAD_BYTES)))
+        finally:
+            source.close()
+
+    if len(files) < 4:
+        return [head(f) for f in files]
+    with ThreadPoolExecutor(16) as pool:
+        return list(pool.map(head, files))
+
+
+@dataclass(frozen=True)
+class SplitLayout:
+    """How the lines of plain CSV files become columns."""
+
+    separator: str
+    first: Row
+    width: int
+    header: HeaderPaths | None
+    own_header: bool
+
+
+def _outside_quotes(line: Column, separator: str, quote: str) -> Column:
+    """A line without what stands in well-formed quoted cells; a quote or mark that is left shows that a cell is not well-formed."""
+    s, q = re.escape(separator), re.escape(quote)
+    cell = rf"(?<=^|{s})(?:{_MARK}*{q}[^{q}]*+{q}|{_MARK}+)(?=$|{s})"
+    return F.when(F.contains(line, F.lit(quote)), F.regexp_replace(F.replace(line, F.lit(quote * 2), F.lit(_MARK)), cell, "")).otherwise(line)
+
+
+def _cells(bare: Column, separator: str) -> Column:
+    return F.length(bare) - F.length(F.replace(bare, F.lit(separator), F.lit(""))) + 1
+
+
+def _line(value: Column) -> Column:
+    return F.when(value.endswith("\r"), F.left(value, F.length(value) - 1)).otherwise(value)
+
+
+def split_layout(spark: SparkSession, paths: list[str], heads: list[tuple[int, bytes]], options: Options) -> SplitLayout | None:
+    """The layout of files that can be read in splits with the same result as whole; None if there are no such.
+
+    A pass over all lines looks for what the two readers might see differently:
+    quotes that no line closes or that stand within a cell, carriage returns
+    within a line, lines of blanks, NUL and bytes that are no UTF-8.
+    """
+    plain = not (options.assoc or options.headers or options.columns or options.required_columns or options.aliases)
+    if not (options.assoc or plain) or options.header_rows != 1 or options.header_offset or not options.skip_empty_lines or options.strict or options.limit is not None or options.offset:
+        return None
+    if (options.input_encoding or "auto").lower() not in ("auto", "utf-8", "utf8") or options.escape not in ("", options.enclosure) or not heads:
+        return None
+    marks = {detect_bom(head) for _, head in heads}
+    if not marks <= {None, "utf-8"} or "utf-8" in marks and not options.skip_input_bom:
+        return None
+    texts = [head.decode("utf-8", "replace").removeprefix("\ufeff") for _, head in heads]
+    separators = {csv.separator_of(t, options) for t in texts}
+    tops = {next((line.rstrip("\r") for line in t.split("\n")[: None if size <= HEAD_BYTES else -1] if line.strip("\r")), None) for t, (size, _) in zip(texts, heads)}
+    separator = separators.pop()
+    if separators or None in tops or separator in "\r\n" or separator == options.enclosure:
+        return None
+    lines = spark.read.text(paths, lineSep="\n").select(_line(F.col("value")).alias("line")).filter("line <> ''")
+    bare = _outside_quotes(F.col("line"), separator, options.enclosure)
+    odd = F.col("line").rlike(rf"[\r\x00{_MARK}\x{{FFFD}}]|^[\x00-\x20]+$")
+    seen = lines.withColumn("bare", bare).select((odd | F.contains("bare", F.lit(options.enclosure)) | F.contains("bare", F.lit(_MARK))).alias("odd"), _cells(F.col("bare"), separator).alias("cells"))
+    found_odd, most = seen.agg(F.max(F.col("odd").cast("int")), F.max("cells")).first()
+    if found_odd or most > MAX_SPLIT_COLUMNS:
+        return None
+    cells = lambda text: next(csv.records(text.encode(), options.but(separator=separator, input_encoding=None)), [])
+    own_header = options.assoc and not options.headers
+    firsts = [cells(t) for t in sorted(tops)]
+    if own_header:
+        paths_of = {HeaderPaths.flat(row, options.header_normalizer).paths for row in firsts}
+        if len(paths_of) > 1:
+            raise InvalidDocument("The files have different headers: " + " and ".join(", ".join(".".join(p) for p in one) for one in sorted(paths_of)[:2]))
+    full = HeaderPaths.injected(options.headers, options.header_rows, options.header_normalizer) if options.headers else HeaderPaths.flat(firsts[0], options.header_normalizer) if options.assoc else None
+    header = assemble(iter([firsts[0]]), options).header
+    return SplitLayout(separator, firsts[0], len(full) if full is not None else most, header, own_header)
+
+
+#: Columns that Spark's parser takes.
+MAX_SPLIT_COLUMNS = 20_000
+
+
+def split_rows(spark: SparkSession, paths: str | list[str], layout: SplitLayout, options: Options, row_id: bool = False, file_column: bool = False, multi_line: bool = False) -> DataFrame:
+    """The data rows of plain CSV files, read in splits.
+
+    The parser's column pruning stays off: with it, ragged rows could not be
+    told from whole ones. Row ids are counts of the splits' rows, which are
+    written once, since another run may cut other splits.
+    """
+    schema = T.StructType([*[T.StructField(f"_c{i}", T.StringType()) for i in range(layout.width)], T.StructField("_bad", T.StringType())])
+    rows = spark.read.schema(schema).option("columnPruning", False).csv(
+        paths, sep=layout.separator, quote=options.enclosure, escape=options.escape or options.enclosure, header=layout.own_header, enforceSchema=True, multiLine=multi_line,
+        emptyValue="", columnNameOfCorruptRecord="_bad", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, encoding="UTF-8", maxCharsPerColumn=-1,
+    )
+    ragged = F.col("_bad").isNotNull()
+    if options.strict:
+        cell = lambda i: F.when(ragged, F.raise_error(F.lit(f"Row has another number of columns than {layout.width}")).cast("string")).otherwise(F.coalesce(f"_c{i}", F.lit("")))
+    else:  # an empty cell is empty, one beyond the end of a short row is null
+        have = _cells(_outside_quotes(_line(F.col("_bad")), layout.separator, options.enclosure), layout.separator)
+        cell = lambda i: F.when(ragged & (have <= i), F.lit(None)).otherwise(F.coalesce(f"_c{i}", F.lit("")))
+    picked = layout.header.indices if layout.header is not None else range(layout.width)
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")]
+    out = rows.select(*[cell(i).alias(f"_c{k}") for k, i in enumerate(picked)], *(place if row_id or file_column else ()))
+    if row_id:
+        out = written(out)
+        blocks = out.groupBy("_file", "_block").agg(F.min("_at").alias("_least"), F.count(F.lit(1)).alias("_n"))
+        before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        shifts = blocks.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_least")).alias("_shift"))
+        out = out.join(shifts, ["_file", "_block"]).withColumn(ROW_ID, F.col("_at") + F.col("_shift"))
+    return finish(out, layout.header, options.assoc, row_id, file_column)
+
+
 def read_csv_splits(spark: SparkSession, paths: str | list[str], options: Options, multi_line: bool = False) -> DataFrame:
-    """CSV files read by Spark's own parser, in splits if no record holds a line break.
+    """CSV files read by Spark's own parser without a look at all lines first: for files known to be plain, or with ``multi_line`` one task a file.
 
     For UTF-8 files with one header row at the top (or none, or given headers),
     in which blank lines do not count. Names, required columns, selection and
-    aliases are the engine's own. The parser's column pruning stays off: with it,
-    ragged rows could not be told from whole ones. With ``strict``, a row of
-    another width raises. Where names come from the files, a first pass over
-    their lines finds each header line, and one unlike the others raises.
+    aliases are the engine's own. With ``strict``, a row of another width
+    raises. Where names come from the files, a header unlike the others raises.
     """
     if options.header_offset is not None or options.header_rows != 1 or not options.skip_empty_lines or options.input_encoding or options.limit is not None or options.offset:
         raise ValueError("read_csv_splits takes one header row at the top, UTF-8, and neither offset nor limit")
     lines = spark.read.text(paths, lineSep="\n").filter(F.col("value").rlike(r"[^\x00-\x20]"))
     head = lines.limit(1).collect()
-    decode = lambda line: csv.decode(line.encode("utf-8", "surrogatepass"), options).removeprefix("﻿").rstrip("\r")
+    decode = lambda line: csv.decode(line.encode("utf-8", "surrogatepass"), options).removeprefix("\ufeff").rstrip("\r")
     text = decode(head[0][0]) if head else ""
     separator = csv.separator_of(text, options)
     cells = lambda text: next(csv.records(text.encode(), options.but(separator=separator)), [])
     first = cells(text)
-    found = assemble(iter([first]), options)
     full = HeaderPaths.injected(options.headers, options.header_rows, options.header_normalizer) if options.headers else HeaderPaths.flat(first, options.header_normalizer) if options.assoc else None
-    width = len(full) if full is not None else len(first)
-    schema = T.StructType([*[T.StructField(f"_c{i}", T.StringType()) for i in range(width)], T.StructField("_bad", T.StringType())])
     own_header = options.assoc and not options.headers
     if own_header:
         placed = lines.select("_metadata.file_path", "value", F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"))
@@ -222,15 +355,6 @@ def read_csv_splits(spark: SparkSession, paths: str | list[str], options: Option
         for own in (HeaderPaths.flat(cells(decode(r["top"])), options.header_normalizer) for r in tops):
             if own.paths != full.paths:
                 raise InvalidDocument("The files have different headers: " + ", ".join(full.names) + " and " + ", ".join(own.names))
-    rows = spark.read.schema(schema).option("columnPruning", False).csv(
-        paths, sep=separator, quote=options.enclosure, escape=options.escape or options.enclosure, header=own_header, enforceSchema=True, multiLine=multi_line,
-        emptyValue="", columnNameOfCorruptRecord="_bad", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, encoding="UTF-8",
-    )
-    ragged = F.col("_bad").isNotNull()
-    if options.strict:
-        cell = lambda i: F.when(ragged, F.raise_error(F.lit(f"Row has another number of columns than {width}")).cast("string")).otherwise(F.coalesce(f"_c{i}", F.lit("")))
-    else:
-        cell = lambda i: F.when(ragged, F.col(f"_c{i}")).otherwise(F.coalesce(f"_c{i}", F.lit("")))
-    header = found.header
-    picked = header.indices if header is not None else range(width)
-    return finish(rows.select(*[cell(i).alias(f"_c{k}") for k, i in enumerate(picked)]), header, options.assoc, False, False)
+    width = len(full) if full is not None else len(first)
+    layout = SplitLayout(separator, first, width, assemble(iter([first]), options).header, own_header)
+    return split_rows(spark, paths, layout, options, multi_line=multi_line)

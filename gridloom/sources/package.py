@@ -110,12 +110,8 @@ def element_groups(source: IO[bytes], name: str, size: int = 1 << 18) -> Iterato
                     continue
                 raise Unplain
             head, rest = rest[: at.start()], rest[at.start() :]
-            if b"<!DOCTYPE" in head or b"<!ENTITY" in head:
-                raise InvalidDocument("Document type declarations are not allowed")
-            declared = re.search(rb"encoding\s*=\s*[\"']([^\"']+)", head[:200])
-            if declared and declared[1].lower() not in (b"utf-8", b"us-ascii") or head.startswith((b"\xff\xfe", b"\xfe\xff")) or b"<!" in head:
-                raise Unplain
-            opening = b"<group " + b" ".join(m[0] for m in re.finditer(rb"xmlns(?::[\w.-]+)?\s*=\s*(?:\"[^\"]*\"|'[^']*')", head)) + b">"
+            check_head(head)
+            opening = b"<group " + namespaces(head) + b">"
         cut = rest.rfind(end) + len(end)
         if cut >= len(end):
             group, rest = rest[:cut], rest[cut:]
@@ -128,6 +124,40 @@ def element_groups(source: IO[bytes], name: str, size: int = 1 << 18) -> Iterato
         raise InvalidDocument(f"The document has invalid XML: {error}") from error
 
 
+_ENTITY = re.compile(r"&(?:(amp|lt|gt|quot|apos)|#([0-9]+)|#x([0-9A-Fa-f]+));")
+_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+_FORBIDDEN = bytes([*range(9), 11, 12, 13, *range(14, 32)])
+
+
+def unescaped(text: str) -> str:
+    """Text with its entities and character numbers replaced."""
+    return _ENTITY.sub(lambda m: _NAMED[m[1]] if m[1] else chr(int(m[2])) if m[2] else chr(int(m[3], 16)), text)
+
+
+def has_other_entities(text: str) -> bool:
+    """Whether an ampersand is no sign of an entity that every document has."""
+    return "&" in text and "&" in _ENTITY.sub("", text)
+
+
+def has_controls(data: bytes) -> bool:
+    """Whether there are signs that a parser refuses, or changes, as carriage returns."""
+    return len(data.translate(None, _FORBIDDEN)) != len(data)
+
+
+def namespaces(head: bytes) -> bytes:
+    """The namespace declarations in a document's head."""
+    return b" ".join(m[0] for m in re.finditer(rb"xmlns(?::[\w.-]+)?\s*=\s*(?:\"[^\"]*\"|'[^']*')", head))
+
+
+def check_head(head: bytes) -> None:
+    """Raise Unplain for a head whose document has to be parsed as a whole."""
+    if b"<!DOCTYPE" in head or b"<!ENTITY" in head:
+        raise InvalidDocument("Document type declarations are not allowed")
+    declared = re.search(rb"encoding\s*=\s*[\"']([^\"']+)", head[:200])
+    if declared and declared[1].lower() not in (b"utf-8", b"us-ascii") or head.startswith((b"\xff\xfe", b"\xfe\xff")) or b"<!" in head:
+        raise Unplain
+
+
 def tree(data: bytes) -> ElementTree.Element:
     """The root of a small XML document."""
     if b"<!DOCTYPE" in data or b"<!ENTITY" in data:

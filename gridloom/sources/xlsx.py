@@ -12,7 +12,7 @@ from xml.etree import ElementTree
 from ..errors import InvalidDocument, SheetNotFound
 from ..functions import values as V
 from ..options import Options
-from .package import MAX_COLUMNS, MAX_STRINGS, Unplain, element_groups, entry, local, open_package, stream, tree, walk
+from .package import MAX_COLUMNS, MAX_STRINGS, Unplain, element_groups, entry, has_controls, has_other_entities, local, open_package, stream, tree, unescaped, walk
 from .rows import Row, Wanted, is_blank
 
 FIRST_SHEET = "xl/worksheets/sheet1.xml"
@@ -144,25 +144,18 @@ def rows(content: bytes, options: Options, wanted: Wanted) -> Iterator[Row]:
 _CELL = re.compile(r'<c(?: r="([A-Za-z]+)[0-9]*")?(?: s="([0-9]+)")?(?: t="([A-Za-z]+)")? ?(?:/>|>(?:<is><t(?: xml:space="preserve")?>([^<]*)</t></is>|(?:<f(?: [^<>]*)?(?:/>|>[^<]*</f>))?<v>([^<]*)</v>|<v/>)?</c>)')
 _HEAD = re.compile(r"\s*(?:<row(?: [^<>]*)?/>\s*)*<row(?: [^<>]*[^<>/])? ?>\s*")
 _ALONE = re.compile(r"<row(?: [^<>]*)?/>")
-_ENTITY = re.compile(r"&(?:(amp|lt|gt|quot|apos)|#([0-9]+)|#x([0-9A-Fa-f]+));")
-_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
-_FORBIDDEN = bytes([*range(9), 11, 12, 13, *range(14, 32)])
-
-
-def _unescaped(text: str) -> str:
-    return _ENTITY.sub(lambda m: _NAMED[m[1]] if m[1] else chr(int(m[2])) if m[2] else chr(int(m[3], 16)), text)
 
 
 def plain_rows(group: bytes) -> list[list[tuple[str, str, str, str]]] | None:
     """The cells of whole rows by their text alone; None unless every sign of it is accounted for."""
-    if len(group.translate(None, _FORBIDDEN)) != len(group):
+    if has_controls(group):
         return None
     try:
         text = group.decode()
     except UnicodeDecodeError:
         return None
     escaped = "&" in text
-    if escaped and "&" in _ENTITY.sub("", text):
+    if has_other_entities(text):
         return None
     out: list[list[tuple[str, str, str, str]]] = []
     for segment in text.split("</row>")[:-1]:
@@ -176,7 +169,7 @@ def plain_rows(group: bytes) -> list[list[tuple[str, str, str, str]]] | None:
             return None
         cells = _CELL.findall(body)
         if escaped and "&" in body:
-            out.append([(r, s, t, _unescaped(i or v)) for r, s, t, i, v in cells])
+            out.append([(r, s, t, unescaped(i or v)) for r, s, t, i, v in cells])
         else:
             out.append([(r, s, t, i or v) for r, s, t, i, v in cells])
     return out

@@ -189,3 +189,43 @@ def test_option_checks():
     for bad in ({"offset": -1}, {"limit": -1}, {"separator": "ab"}, {"enclosure": ""}, {"escape": "xx"}, {"max_worksheet_size": 0}, {"header_offset": -1}, {"header_rows": 0}):
         with pytest.raises(ValueError):
             make_options(**bad)
+
+
+PLAIN = ["a,b,c\n1,2,3\n", "a,b,c\r\n1,,\r\n,2\r\n", "\ufeffa,b\n1,2\n\n3,4,5\n6\n", 'a;b\n"x;""y""";\n"";z\n""""\n"""q";"r"""\n', "a\tb\nü\t日本\n", 'a,b\n"1,1","2"\n3,"4,"""']
+OTHER = ['a,b\n"1\n2",3\n', 'a,b\nx"y,2\n', "a,b\n1\r2,3\n", "a,b\n   \n1,2\n", 'a,b\n1,x""y\n', 'a,b\n"x"y,2\n', "a,b\n\x00,2\n"]
+
+
+@pytest.mark.parametrize("text", PLAIN + OTHER)
+def test_split_and_whole_reads_agree(spark, tmp_path, text):
+    from gridloom.sources import frames
+
+    path = tmp_path / "x.csv"
+    path.write_bytes(text.encode())
+    for options in ({"assoc": True}, {}, {"assoc": True, "headers": ["p", "q"]}):
+        whole = read(spark, text, row_id=True, **options)
+        got = facade.read(spark, str(path), row_id=True, **options)
+        assert got.columns == whole.columns and sorted(rows(got), key=str) == sorted(rows(whole), key=str)
+    layout = frames.split_layout(spark, [str(path)], frames.file_heads(spark, [path.as_uri()]), make_options(assoc=True))
+    assert (layout is not None) == (text in PLAIN)
+
+
+def test_large_files_are_read_by_many_tasks(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("i,t\n" + "".join(f'{i},"t ""{i}"", x"\n' for i in range(40_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        df = facade.read(spark, str(path), assoc=True, row_id=True, file_column=True)
+        assert sorted((r["_row_id"], r["i"], r["t"]) for r in df.collect()) == [(i, str(i), f't "{i}", x') for i in range(40_000)]
+        assert facade.read(spark, str(path), assoc=True).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_files_that_no_way_reads(spark, tmp_path, monkeypatch):
+    from gridloom.sources import frames
+
+    monkeypatch.setattr(frames, "WHOLE_FILE_BYTES", 10)
+    (tmp_path / "x.csv").write_text('a,b\n"1\n2",3\n')
+    with pytest.raises(InvalidDocument, match="bytes"):
+        facade.read(spark, str(tmp_path / "x.csv"), assoc=True)

@@ -216,3 +216,40 @@ def test_rows_by_text_and_by_parser_agree(body, monkeypatch):
 
     monkeypatch.setattr(xlsx, "element_groups", unplain)
     assert fast == middle == got(content, skip_empty_lines=False) and len(fast) >= 3
+
+
+ODS_CELL = '<table:table-cell office:value-type="string"><text:p>{}</text:p></table:table-cell>'
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        f'<table:table-column table:number-columns-repeated="3"/><table:table-row>{ODS_CELL.format("a &amp; b &#65;")}<table:covered-table-cell/><table:table-cell/>{ODS_CELL.format("x")}</table:table-row><table:table-row/>\n<table:table-row table:number-rows-repeated="2">{ODS_CELL.format("")}<table:table-cell office:value-type="float" office:value="1.5"/></table:table-row>',
+        '<table:table-header-rows><table:table-row><table:table-cell office:value-type="string"><text:p>a</text:p><text:p>b<text:span>c</text:span></text:p></table:table-cell></table:table-row></table:table-header-rows><table:table-row><table:table-cell office:value-type="boolean" office:boolean-value="true"/></table:table-row>',
+        f'<table:table-row>{ODS_CELL.format("1")}</table:table-row><!-- <table:table-row> --><table:table-row>{ODS_CELL.format("<![CDATA[<2>]]>")}</table:table-row>',
+        f"<table:table-row>{ODS_CELL.format('1')}</table:table-row><table:table-row><table:table-cell office:value-type='string'><text:p>q\r\n</text:p></table:table-cell></table:table-row>",
+    ],
+)
+def test_ods_rows_by_text_and_by_parser_agree(rows, monkeypatch):
+    from gridloom.sources import ods as source
+
+    content = ods(rows)
+    for options in ({"skip_empty_lines": False}, {"stringify_values": False}, {"sheet": "B"}):
+        fast = got(content, "ods", **options)
+        monkeypatch.setattr(source, "_plain_cells", lambda body, known: None)
+        middle = got(content, "ods", **options)
+        monkeypatch.undo()
+
+        def unplain(*_):
+            raise source.Unplain
+            yield
+
+        monkeypatch.setattr(source, "_fast_rows", unplain)
+        assert fast == middle == got(content, "ods", **options) and fast
+        monkeypatch.undo()
+
+
+def test_strings_beyond_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(sink, "STRINGS_LIMIT", 2)
+    content = facade.write_bytes(with_row_id(spark.createDataFrame([(i, f"s{i % 4}") for i in range(9)], "k int, s string"), "k"), "xlsx", shared_strings=True)
+    assert [r[1] for r in facade.read_bytes(spark, content).collect()] == [f"s{i % 4}" for i in range(9)]
