@@ -2,40 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import facade, scratch
+from . import cases, facade, scratch
 from .functions import columns as C
 from .functions import values as V
 from .operators import transforms as X
 from .plans.headers import HeaderPaths
+from .registry import ORACLES, QUERIES, Query
+from .registry import query as _query
 from .rowid import ROW_ID, with_row_id
 from .sources import metadata
-from .sources.frames import read_csv_splits
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
 
-def _query(sql: str) -> Callable[[Query], Query]:
-    def add(fn: Query) -> Query:
-        _QUERIES[fn.__name__] = fn
-        _ORACLES[fn.__name__] = sql
-        return fn
-
-    return add
+__all__ = ["cases", "oracle_sql", "queries"]
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(ORACLES)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -158,15 +146,21 @@ def csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R4 for large files: parts written by executors and read in splits."""
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
-    from .options import make_options
-    from .sinks.csv import write_parts
-
-    folder = f"{scratch.scratch_folder(spark)}/parts"
-    write_parts(lines, folder, make_options(bom=False, eol="\n"))
-    back = read_csv_splits(spark, folder, make_options(assoc=True, headers=lines.columns, columns=lines.columns[:5], separator=","))
+    folder = facade.write_parts(lines, f"{scratch.scratch_folder(spark)}/parts", "csv", bom=False, eol="\n")
+    back = facade.read(spark, folder, format="csv", assoc=True, headers=lines.columns, columns=lines.columns[:5], separator=",")
     return _ints(_typed(back, l_orderkey="int", l_linenumber="int", l_quantity="float", l_extendedprice="float"), "l_linenumber")
 
 
+@_query("SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_comment) - 1 AS _row_id, l_orderkey AS k, l_linenumber AS n, l_comment AS c FROM (SELECT l_orderkey, l_linenumber, l_linestatus || ', \"' || l_partkey || '\"' AS l_comment FROM lineitem)")
+def csv_large_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file of any size, read by many tasks, rows numbered as they stand in it; quotes and separators in cells."""
+    said = F.concat(F.col("l_linestatus"), F.lit(', "'), F.col("l_partkey"), F.lit('"'))
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), said.alias("c"))
+    path = f"{scratch.scratch_folder(spark)}/lines.csv"
+    facade.write(with_row_id(lines, ["k", "n", "c"]), path, headers=lines.columns)
+    return _ints(_typed(facade.read(spark, path, assoc=True, row_id=True), k="int", n="int"), "n")
+
+
 # workbooks
 
 
@@ -427,13 +421,40 @@ def classify_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("class", C.classify_format(F.col("code")))
 
 
-@_query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{code}', '{V.classify_format(code)}')" for i, code in sorted(V.BUILT_IN_FORMATS.items())) + ") t(id, code, class)")
+@_query(
+    """SELECT * FROM (VALUES (0, 'General', 'number'), (1, '0', 'number'), (2, '0.00', 'number'), (3, '#,##0', 'number'), (4, '#,##0.00', 'number'),
+    (5, '$#,##0_);($#,##0)', 'number'), (6, '$#,##0_);[Red]($#,##0)', 'number'), (7, '$#,##0.00_);($#,##0.00)', 'number'), (8, '$#,##0.00_);[Red]($#,##0.00)', 'number'),
+    (9, '0%', 'number'), (10, '0.00%', 'number'), (11, '0.00E+00', 'number'), (12, '# ?/?', 'number'), (13, '# ??/??', 'number'),
+    (14, 'm/d/yyyy', 'date'), (15, 'd-mmm-yy', 'date'), (16, 'd-mmm', 'date'), (17, 'mmm-yy', 'date'),
+    (18, 'h:mm AM/PM', 'time'), (19, 'h:mm:ss AM/PM', 'time'), (20, 'h:mm', 'time'), (21, 'h:mm:ss', 'time'), (22, 'm/d/yyyy h:mm', 'datetime'),
+    (27, '[$-404]e/m/d', 'date'), (30, 'm/d/yy', 'date'), (36, '[$-404]e/m/d', 'date'), (37, '#,##0 ;(#,##0)', 'number'), (38, '#,##0 ;[Red](#,##0)', 'number'),
+    (39, '#,##0.00;(#,##0.00)', 'number'), (40, '#,##0.00;[Red](#,##0.00)', 'number'), (41, '_(* #,##0_);_(* (#,##0);_(* "-"_);_(@_)', 'number'),
+    (42, '_($* #,##0_);_($* (#,##0);_($* "-"_);_(@_)', 'number'), (43, '_(* #,##0.00_);_(* (#,##0.00);_(* "-"??_);_(@_)', 'number'),
+    (44, '_($* #,##0.00_);_($* (#,##0.00);_($* "-"??_);_(@_)', 'number'), (45, 'mm:ss', 'time'), (46, '[h]:mm:ss', 'duration'), (47, 'mm:ss.0', 'time'), (48, '##0.0E+0', 'number'), (49, '@', 'number'),
+    (50, '[$-404]e/m/d', 'date'), (57, '[$-404]e/m/d', 'date'), (59, 't0', 'number'), (60, 't0.00', 'number'), (61, 't#,##0', 'number'), (62, 't#,##0.00', 'number'),
+    (67, 't0%', 'number'), (68, 't0.00%', 'number'), (69, 't# ?/?', 'number'), (70, 't# ??/??', 'number')) t(id, code, class)"""
+)
 def built_in_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number formats that have an id only."""
     rows = spark.createDataFrame(sorted(V.BUILT_IN_FORMATS.items()), "id int, code string")
     return rows.withColumn("class", C.classify_format(F.col("code")))
 
 
+@_query("SELECT o_orderkey, (o_orderkey * 1000003) / 1000000 / 86400 AS days, (CASE WHEN o_orderkey % 2 = 0 THEN '-' ELSE '' END) || (k // 8)::VARCHAR || ':' || lpad((k % 8 * 15 // 2)::VARCHAR, 2, '0') || ':' || CASE WHEN k % 2 = 1 THEN '30' ELSE '00' END AS shown FROM (SELECT o_orderkey, o_orderkey + 1 AS k FROM orders)")
+def duration_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Durations as days, and days as duration text beyond a day and below zero (a count of 7.5 minutes: 192 to a day)."""
+    key = F.col("o_orderkey")
+    days = (key + 1).cast("double") / 192 * F.when(key % 2 == 0, -1).otherwise(1)
+    return _table(spark, sf_dir, "orders").select("o_orderkey", C.duration_to_serial(key * 1_000_003).alias("days"), C.serial_to_duration(days).alias("shown"))
+
+
+@_query("SELECT p_partkey, chr((65 + p_partkey % 26)::INTEGER) || (p_size + 1)::VARCHAR AS relative, '$' || chr((65 + p_partkey % 26)::INTEGER) || '$' || (p_size + 1)::VARCHAR AS absolute FROM part")
+def cell_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of cells."""
+    row, column = F.col("p_size"), F.col("p_partkey") % 26
+    return _table(spark, sf_dir, "part").select("p_partkey", C.cell_address(row, column).alias("relative"), C.cell_address(row, column, absolute=True).alias("absolute"))
+
+
 @_query("SELECT p_partkey, CASE WHEN k < 26 THEN chr(65 + k) WHEN k < 702 THEN chr(65 + (k - 26) // 26) || chr(65 + k % 26) ELSE chr(65 + (k - 702) // 676) || chr(65 + ((k - 702) // 26) % 26) || chr(65 + (k - 702) % 26) END AS letters, (k + 1)::INTEGER AS back FROM (SELECT p_partkey, (p_partkey % 16384)::INTEGER AS k FROM part)")
 def column_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column numbers and letters."""
