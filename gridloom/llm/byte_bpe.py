@@ -30,15 +30,15 @@ CACHE_WORDS = 250_000
 QUERY_BYTES = 200
 
 _CONTRACT = """
-WITH RECURSIVE step(it, w, l) AS (
-  SELECT 0, w, list(s ORDER BY p) FROM symbols GROUP BY w
-  UNION ALL (
+WITH RECURSIVE step(w, l) USING KEY (w) AS (
+  SELECT w, list(s ORDER BY p) FROM symbols GROUP BY w
+  UNION (
     WITH pairs AS (SELECT w, unnest(l[1:-2]) AS s, unnest(l[2:]) AS ns, unnest(range(1, len(l))) AS p FROM step),
     best AS (SELECT w, min(m.rank * 4294967296 + p) AS b FROM pairs JOIN merges m ON m.pair = s * 4294967296 + ns GROUP BY w)
-    SELECT it + 1, w, l[1:(b % 4294967296) - 1] || [b // 4294967296] || l[(b % 4294967296) + 2:] FROM step JOIN best USING (w)
+    SELECT w, l[1:(b % 4294967296) - 1] || [b // 4294967296] || l[(b % 4294967296) + 2:] FROM step JOIN best USING (w)
   )
 )
-SELECT w, arg_max(l, it) AS ids FROM step GROUP BY w
+SELECT w, l AS ids FROM step
 """
 
 _EXPAND = "SELECT t, unhex(string_agg(h, '' ORDER BY p)) AS b FROM tokens JOIN vocabulary USING (id) GROUP BY t"
