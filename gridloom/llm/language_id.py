@@ -5,6 +5,8 @@ over hashed byte n-grams tells the languages whose codeword has +1 from the
 others. A text's bits are decoded by loss: the language whose codeword has the
 least logistic loss, bits weighted by how well they separate the training
 texts, is chosen; if the next one is almost as near, the text is ambiguous.
+A text whose bits are far from every codeword is in none of the languages: it
+is rejected, as is an ambiguous one, unless it is too short to tell.
 
 The classifiers are naive Bayes log-odds, so they need only n-gram frequencies
 by language, which executors gather from a bounded sample of labelled rows.
@@ -12,13 +14,16 @@ by language, which executors gather from a bounded sample of labelled rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .common import shared_value, slices, table, worker_cache
 
@@ -32,6 +37,10 @@ BLOCK = 1 << 20
 SMOOTHING, LOSS_SCALE, SHARPNESS = 0.01, 3.0, 12.0
 #: A text whose second language is within this share of the loss is ambiguous.
 AMBIGUOUS = 0.02
+#: A mean loss beyond which no codeword fits: half of what bits that say nothing have (log 2).
+REJECT_LOSS = 0.5 * math.log(2)
+#: Letters that a text must have to be rejected for its loss or ambiguity; with fewer there is too little to go by.
+EVIDENCE_LETTERS = 16
 UND = "und"
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -67,6 +76,13 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and regex.search(r"\p{L}", text) is not None
 
 
+def has_evidence(text: str) -> bool:
+    """Whether a text has EVIDENCE_LETTERS letters."""
+    import regex
+
+    return sum(1 for _ in islice(regex.finditer(r"\p{L}", text), EVIDENCE_LETTERS)) == EVIDENCE_LETTERS
+
+
 def codebook(n: int) -> np.ndarray:
     """Codewords of n classes as rows of +1 and -1: all splits up to six classes, else the best of random ones."""
     if n <= 6:
@@ -102,18 +118,22 @@ class Model:
                 n += len(h)
         return total / max(1, n)
 
-    def decode(self, bits: np.ndarray) -> tuple[str, float, bool]:
-        """(language, confidence, ambiguous) of the margins of a text."""
+    def decode(self, bits: np.ndarray) -> tuple[str, float, bool, float]:
+        """(language, confidence, ambiguous, loss) of the margins of a text."""
         loss = (np.logaddexp(0, -LOSS_SCALE * self.code * bits) * self.bit_weights).sum(axis=1) / self.bit_weights.sum()
         order = np.argsort(loss, kind="stable")
         p = np.exp(-SHARPNESS * (loss - loss[order[0]]))
         near = len(order) > 1 and loss[order[1]] - loss[order[0]] < AMBIGUOUS * max(loss[order[1]], 1e-12)
-        return self.languages[order[0]], float(p[order[0]] / p.sum()), bool(near)
+        return self.languages[order[0]], float(p[order[0]] / p.sum()), bool(near), float(loss[order[0]])
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if not self.languages or not has_letter(text):
-            return UND, 0.0, False
-        return self.decode(self.bits(text))
+    def predict(self, text: str | None) -> tuple[str, float, bool, bool]:
+        """(language, confidence, ambiguous, rejected) of a text."""
+        if not has_letter(text):
+            return UND, 0.0, False, True
+        if not self.languages:
+            return UND, 0.0, False, False
+        lang, score, near, loss = self.decode(self.bits(text))
+        return lang, score, near, (near or loss > REJECT_LOSS) and has_evidence(text)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +184,7 @@ def fit(training: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
 
 def predict_columns(spark: SparkSession, model: Model):
-    """A mapInArrow function that adds lang_pred, score and ambiguous to batches with a ``text`` column."""
+    """A mapInArrow function that replaces the column ``_gl_text`` of batches by lang_pred, score, ambiguous and rejected."""
     shared = shared_value(spark, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,11 +193,11 @@ def predict_columns(spark: SparkSession, model: Model):
         for part in slices(batches):
             at = part.schema.names.index("_gl_text")
             found = [known.predict(t) for t in part.column(at).to_pylist()]
-            lang, score, near = zip(*found) if found else ((), (), ())
+            lang, score, near, rejected = zip(*found) if found else ((), (), (), ())
             rest = [i for i in range(part.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(i) for i in rest), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(near, pa.bool_())],
-                names=[*(part.schema.names[i] for i in rest), "_gl_lang", "_gl_score", "_gl_ambiguous"],
+                [*(part.column(i) for i in rest), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(near, pa.bool_()), pa.array(rejected, pa.bool_())],
+                names=[*(part.schema.names[i] for i in rest), "_gl_lang", "_gl_score", "_gl_ambiguous", "_gl_rejected"],
             )
 
     return run
@@ -190,35 +210,41 @@ def training_rows(docs: DataFrame, parts: int = 3, part: int = 1) -> DataFrame:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, ambiguous) of every row.
+    """(doc_id, held_out, lang_pred, score, ambiguous, rejected) of every row.
 
-    A null text and one without a letter is ``und`` with score 0, and so is
-    every text if there was nothing to learn from. A null id counts as empty
+    A null text and one without a letter is ``und`` with score 0 and rejected;
+    ``und``, but not rejected, is every text with a letter if there was nothing
+    to learn from. Other texts have the nearest language, and are rejected if
+    they are ambiguous or no codeword is near (REJECT_LOSS), given at least
+    EVIDENCE_LETTERS letters. A null id counts as empty
     text for held_out. Repeated rows come back each and an empty table gives an
     empty result; only doc_id and text are read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 3, 1).alias("held_out"), F.col("text").alias("_gl_text"))
-    found = rows.mapInArrow(predict_columns(docs.sparkSession, model), "doc_id long, held_out boolean, _gl_lang string, _gl_score double, _gl_ambiguous boolean")
-    return found.withColumnsRenamed({"_gl_lang": "lang_pred", "_gl_score": "score", "_gl_ambiguous": "ambiguous"})
+    found = rows.mapInArrow(predict_columns(docs.sparkSession, model), "doc_id long, held_out boolean, _gl_lang string, _gl_score double, _gl_ambiguous boolean, _gl_rejected boolean")
+    return found.withColumnsRenamed({"_gl_lang": "lang_pred", "_gl_score": "score", "_gl_ambiguous": "ambiguous", "_gl_rejected": "rejected"})
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows in no language: null texts and those without a letter. Columns stay as they were.
+def keep_identified(docs: DataFrame, languages: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` without the rows that the classifier rejects. Columns stay as they were.
 
-    Where no row has a language to learn from, texts with a letter stay too.
+    A row goes if its text is null or has no letter, or if it has at least
+    EVIDENCE_LETTERS letters and is ambiguous or far from all codewords, as a
+    text in a language that was not learned, or in none, is. With ``languages``
+    rows predicted as another one go too. Where no row has a language to learn
+    from, texts with a letter stay.
     """
     model = fit(training_rows(docs))
-    if not model.languages:
-        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     names = docs.columns
     numbered = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    numbered = numbered.withColumn("_gl_text", F.col(f"c{names.index('text')}"))
-    ddl = [*numbered.schema.fields[:-1]]
-    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
-
-    schema = StructType([*ddl, StructField("_gl_lang", StringType()), StructField("_gl_score", DoubleType()), StructField("_gl_ambiguous", BooleanType())])
-    found = numbered.mapInArrow(predict_columns(docs.sparkSession, model), schema)
-    return found.filter(F.col("_gl_lang") != UND).drop("_gl_lang", "_gl_score", "_gl_ambiguous").toDF(*names)
+    schema = StructType(
+        [*numbered.schema.fields, StructField("_gl_lang", StringType()), StructField("_gl_score", DoubleType()), StructField("_gl_ambiguous", BooleanType()), StructField("_gl_rejected", BooleanType())]
+    )
+    found = numbered.withColumn("_gl_text", F.col(f"c{names.index('text')}")).mapInArrow(predict_columns(docs.sparkSession, model), schema)
+    kept = ~F.col("_gl_rejected")
+    if languages is not None and model.languages:
+        kept &= F.col("_gl_lang").isin(*languages)
+    return found.filter(kept).drop("_gl_lang", "_gl_score", "_gl_ambiguous", "_gl_rejected").toDF(*names)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

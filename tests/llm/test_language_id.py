@@ -45,13 +45,35 @@ def test_messy_and_empty(spark, messy, nothing):
     assert {r[2] for r in as_rows(op.identify(messy, single))} == {"en", "und"}
 
 
+#: In languages that are not learned.
+STRANGE = {1001: "これは日本語の文章です。とても長いので、分類器はどの符号語にも近くありません。", 1002: "Αυτό είναι ένα ελληνικό κείμενο που δεν έχει μάθει κανείς", 1003: "lorem ipsum dolor sit amet consectetur adipiscing elit"}
+
+
 def test_stage(spark, messy, nothing):
+    """The classifier decides: texts in languages that were learned stay, others go, but for those too short to tell."""
+    more = [*STRANGE.items(), (1010, "語"), (1011, "12 345")]
+    docs = corpus(spark).unionByName(spark.createDataFrame([(i, t, None, "s", 1, "k", "i", "n", "f", "u") for i, t in more], DOCS))
+    model = op.fit(op.training_rows(docs))
+    assert all(model.predict(t)[3] for t in STRANGE.values()) and not model.predict("語")[3] and not any(model.predict(t)[3] for t in SAMPLES.values())
+    out = op.keep_identified(docs)
+    assert out.schema == docs.schema and {r["doc_id"] for r in out.collect()} == {*range(400), 1010}
+    german = op.keep_identified(corpus(spark), languages=["de"])
+    assert {r["doc_id"] for r in german.collect()} == {i for i in range(400) if i % 4 == 1}
     both = corpus(spark).unionByName(messy)
-    out = op.keep_identified(both)
-    assert out.columns == both.columns and out.schema == both.schema
-    gone = {r["doc_id"] for r in both.collect()} - {r["doc_id"] for r in out.collect()}
-    assert gone == {10, 11, 12, 15} - set(range(400)) or gone == set()
-    assert out.count() == both.count() - 5 and op.keep_identified(nothing).count() == 0
+    left = {r["doc_id"] for r in op.keep_identified(both).collect()}
+    assert {*range(400)} - {10, 11, 12, 15} <= left and op.keep_identified(nothing).count() == 0
+
+
+def test_against_loops(spark):
+    """Every row of the query's result against one text at a time."""
+    docs = corpus(spark, 60).unionByName(spark.createDataFrame([(i, t, None, "s", 1, "k", "i", "n", "f", "u") for i, t in STRANGE.items()], DOCS))
+    model = op.fit(op.training_rows(docs))
+    got = {r[0]: r[2:] for r in as_rows(op.identify(docs, model))}
+    for r in docs.collect():
+        bits = [sum(float(model.weights[g, b]) for order in op.buckets(op.folded(r["text"])) for g in order) for b in range(model.weights.shape[1])]
+        n = sum(len(order) for order in op.buckets(op.folded(r["text"])))
+        losses = [sum(w * np.log1p(np.exp(-op.LOSS_SCALE * c * s / n)) for w, c, s in zip(model.bit_weights, word, bits)) / sum(model.bit_weights) for word in model.code]
+        assert got[r["doc_id"]][0] == model.languages[int(np.argmin(losses))] and got[r["doc_id"]][3] == (min(losses) > op.REJECT_LOSS or got[r["doc_id"]][2])
 
 
 def test_stage_with_nothing_to_learn(messy):
