@@ -16,7 +16,7 @@ from gridloom.llm.common import shared_folder, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no language: null texts and texts without a letter."""
+    """Drop documents in no learned language: those that the classifier rejects, null texts and texts without a letter."""
     return language_id.keep_identified(docs)
 
 
