@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import IO, Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,14 +18,16 @@ from .sources import files
 from .sources.frames import frame, read_files
 
 
-def read(spark: SparkSession, path: str | list[str], options: Options | None = None, *, row_id: bool = False, file_column: bool = False, format: str | None = None, **changes: Any) -> DataFrame:
+def read(spark: SparkSession, path: str | list[str], options: Options | None = None, *, row_id: bool = False, file_column: bool = False, format: str | None = None, types: Sequence[str] | None = None, **changes: Any) -> DataFrame:
     """Read documents at a path, a folder, a pattern or a list of paths.
 
-    The format goes by the extension, else by the content. ``changes`` are
+    The format goes by the extension, else by the content. ``types`` of the
+    columns of workbooks in native mode (string, long, double, boolean,
+    timestamp_ntz) save the pass over the rows that finds them. ``changes`` are
     options by name.
     """
     kind = files.known_format(format) if format else files.format_of(spark, path)
-    return read_files(spark, path, kind, make_options(options, **changes), row_id, file_column)
+    return read_files(spark, path, kind, make_options(options, **changes), row_id, file_column, types)
 
 
 def read_bytes(spark: SparkSession, content: bytes, format: str | None = None, options: Options | None = None, *, row_id: bool = False, **changes: Any) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
@@ -95,9 +95,12 @@ def _describer(kind: str, options: Options, whole: bool) -> Callable[[Iterator[p
 def _converted(values: list[Any], kind: str) -> pa.Array:
     if kind == "string":
         return pa.array([v if v is None or isinstance(v, str) else V.stringify(v) for v in values], pa.string())
-    if kind == "double":
-        return pa.array([None if v is None or v == "" else float(v) for v in values], pa.float64())
-    return pa.array([None if v == "" else v for v in values], _ARROW[kind])
+    try:
+        if kind == "double":
+            return pa.array([None if v is None or v == "" else float(v) for v in values], pa.float64())
+        return pa.array([None if v == "" else v for v in values], _ARROW[kind])
+    except (ValueError, TypeError, pa.ArrowException) as error:  # only where the caller named the types
+        raise InvalidDocument(f"A column has cells that are no {kind}: {error}") from error
 
 
 def row_decoder(kind: str, options: Options, plain_width: int | None, kinds: list[str], header: HeaderPaths | None) -> tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], list[T.StructField]]:
@@ -134,10 +137,10 @@ def row_decoder(kind: str, options: Options, plain_width: int | None, kinds: lis
     return run, fields
 
 
-def plan_files(files: DataFrame, kind: str, options: Options) -> tuple[HeaderPaths | None, int | None, list[str]]:
-    """(header, plain width, column types) that fit all files."""
+def plan_files(files: DataFrame, kind: str, options: Options, given: Sequence[str] | None = None) -> tuple[HeaderPaths | None, int | None, list[str]]:
+    """(header, plain width, column types) that fit all files; with the types given, rows are looked at in strict mode only."""
     named = bool(options.headers) or options.assoc or options.header_offset == "auto"
-    whole = not named or not options.stringify_values or options.strict
+    whole = (given is None and (not named or not options.stringify_values)) or options.strict
     said = files.select("content").mapInArrow(_describer(kind, options, whole), "said string").distinct().collect()
     header, width, kinds = None, 0, {}
     for line in said:
@@ -159,7 +162,13 @@ def plan_files(files: DataFrame, kind: str, options: Options) -> tuple[HeaderPat
     count = len(header) if header is not None else width
     if header is not None and plain and not options.columns:
         count = max(count, width)  # plain rows keep cells beyond the header
-    types = ["string" if options.stringify_values else column_type(kinds.get(i, set())) for i in range(count)]
+    if given is not None:
+        if header is not None and options.assoc and len(header) != len(given):
+            raise ValueError(f"{len(given)} types are given for {len(header)} columns")
+        if unknown := [t for t in given if t not in _ARROW]:
+            raise ValueError(f"unknown types: {', '.join(unknown)}")
+        count = len(given)
+    types = list(given) if given is not None else ["string" if options.stringify_values else column_type(kinds.get(i, set())) for i in range(count)]
     return header, None if header is not None and (options.assoc or options.columns) else count, types
 
 
@@ -176,31 +185,32 @@ def finish(df: DataFrame, header: HeaderPaths | None, named: bool, row_id: bool,
     return df.select(*extra, *placed.project(lambda i: F.col(f"_c{i}")))
 
 
-def frame(files: DataFrame, kind: str, options: Options, row_id: bool = False, file_column: bool = False) -> DataFrame:
+def frame(files: DataFrame, kind: str, options: Options, row_id: bool = False, file_column: bool = False, types: Sequence[str] | None = None) -> DataFrame:
     """The rows of ``files`` (path, content), in order within a file.
 
     With ``row_id`` the column ``_row_id`` numbers the data rows of each file
     from 0; with ``file_column`` the column ``_file`` has the file's path.
-    Offset and limit count for each file.
+    Offset and limit count for each file. ``types`` of the columns (string,
+    long, double, boolean, timestamp_ntz) save the pass that finds them.
     """
     if options.header_offset == "auto" and not options.required_columns:
         raise ValueError("header_offset='auto' needs required_columns")
-    header, plain_width, types = plan_files(files, kind, options)
-    run, schema = row_decoder(kind, options, plain_width, types, header)
+    header, plain_width, kinds = plan_files(files, kind, options, types)
+    run, schema = row_decoder(kind, options, plain_width, kinds, header)
     rows = files.select("path", "content").mapInArrow(run, T.StructType(schema))
     return finish(rows, header, options.assoc, row_id, file_column)
 
 
-def read_files(spark: SparkSession, paths: str | list[str], kind: str, options: Options, row_id: bool = False, file_column: bool = False) -> DataFrame:
+def read_files(spark: SparkSession, paths: str | list[str], kind: str, options: Options, row_id: bool = False, file_column: bool = False, types: Sequence[str] | None = None) -> DataFrame:
     """The documents at paths as one frame."""
-    if kind == "csv":
+    if kind == "csv" and types is None:
         paths = [check_path(p) for p in ([paths] if isinstance(paths, str) else paths)]
         heads = file_heads(spark, spark.read.text(paths).inputFiles())
         if (layout := split_layout(spark, paths, heads, options)) is not None:
             return split_rows(spark, paths, layout, options, row_id, file_column)
         if heads and (most := max(size for size, _ in heads)) > WHOLE_FILE_BYTES:
             raise InvalidDocument(f"A CSV file of {most} bytes cannot be read in splits with these options or signs, and whole files end at {WHOLE_FILE_BYTES} bytes")
-    return frame(binary_files(spark, paths), kind, options, row_id, file_column)
+    return frame(binary_files(spark, paths), kind, options, row_id, file_column, types)
 
 
 #: The largest file that one row of a frame can hold.

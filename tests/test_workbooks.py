@@ -253,3 +253,15 @@ def test_strings_beyond_the_limit(spark, monkeypatch):
     monkeypatch.setattr(sink, "STRINGS_LIMIT", 2)
     content = facade.write_bytes(with_row_id(spark.createDataFrame([(i, f"s{i % 4}") for i in range(9)], "k int, s string"), "k"), "xlsx", shared_strings=True)
     assert [r[1] for r in facade.read_bytes(spark, content).collect()] == [f"s{i % 4}" for i in range(9)]
+
+
+def test_given_types(spark, tmp_path):
+    path = facade.write(with_row_id(spark.createDataFrame([(1, 1.5, "x", True), (2, None, "y", False)], "i long, d double, s string, b boolean"), "i"), str(tmp_path / "x.xlsx"), assoc=True)
+    kinds = ["long", "double", "string", "boolean"]
+    df = facade.read(spark, path, assoc=True, stringify_values=False, types=kinds)
+    assert df.dtypes == [("i", "bigint"), ("d", "double"), ("s", "string"), ("b", "boolean")] and [tuple(r) for r in df.collect()] == [(1, 1.5, "x", True), (2, None, "y", False)]
+    for bad in (["long"], ["long", "double", "string", "date"]):
+        with pytest.raises(ValueError):
+            facade.read(spark, path, assoc=True, stringify_values=False, types=bad)
+    with pytest.raises(InvalidDocument, match="no long"), typed_errors():
+        facade.read(spark, path, assoc=True, stringify_values=False, types=["long", "double", "long", "boolean"]).collect()
