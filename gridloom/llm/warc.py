@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta, timezone
 from urllib.parse import quote, urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -215,18 +216,28 @@ def _runs(folder: str):
     return read
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> dict[str, list[pa.RecordBatch]]:
+    """By run, its rows in order, left in the batches that brought them."""
+    found: dict[str, list[pa.RecordBatch]] = {}
+    for batch in (b for b in batches if b.num_rows):
+        code = batch.column(0).dictionary_encode().indices.to_numpy()
+        starts = np.flatnonzero(np.diff(code, prepend=-1)).tolist()
+        for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
+            found.setdefault(batch.column(0)[lo].as_py(), []).append(batch.slice(lo, hi - lo))
+    return found
+
+
+def _captures(stretches: list[pa.RecordBatch]) -> Iterator[tuple]:
+    """The captures of a run as a merge compares them, few of them Python objects at a time."""
+    for part in slices(iter(stretches), 64):
+        for row in zip(*(c.to_pylist() for c in part.columns)):
+            yield _order(row[2:]), row[0], row[1], row
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Loser-tree merge of the slices of runs that came to this range."""
-    slices_: dict[str, list[tuple]] = {}
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            slices_.setdefault(row[0], []).append(row)
-    runs = []
-    for name in sorted(slices_):
-        run = slices_[name]
-        run.sort(key=lambda r: r[1])  # blocks of a run may arrive in any order; within a block it is sorted
-        runs.append([(_order(r[2:]), r[0], r[1], r) for r in run])
-    merged, part = LoserTree(map(iter, runs)), []
+    """Loser-tree merge of the slices of runs that came to this range, each in its order."""
+    runs = _stretches(batches)
+    merged, part = LoserTree(_captures(runs[name]) for name in sorted(runs)), []
     for *_, row in merged:
         part.append(row)
         if len(part) == 4096:
@@ -239,7 +250,9 @@ def capture_histories(spark: SparkSession, archives: DataFrame, folder: str) ->
     """All captures of the listed archives, ordered by URL key, time and page over all partitions."""
     runs = cut(archives.mapInArrow(_runs(folder), _CAPTURE))
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
-    return runs.repartitionByRange(ranges, "url_key", "captured", "page_id").mapInArrow(_merge, _CAPTURE)
+    # blocks of a run arrive in any order; Spark's sort, which spills, brings each run back into its own
+    placed = runs.repartitionByRange(ranges, "url_key", "captured", "page_id").sortWithinPartitions("run", "place")
+    return placed.mapInArrow(_merge, _CAPTURE)
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ LONG = "<html>" + "é" * 80
 
 @pytest.fixture(scope="module")
 def pages(spark):
-    rows = [(7, "http://b.example.com/x?q=1", LONG), (3, "https://www.a.org/", LONG), (9, "http://a.org:80/y#z", LONG), (1, None, "tiny"), (2, "no scheme", "tiny"), (4, "http://[bad", ""), (5, "http://x.net/a b\r\nc", None), (None, "http://x.net/", LONG), (3, "https://www.a.org/", LONG), (6, "http://x.net/é", "y" * 100_000), (None, None, "z" * 200)]
+    rows = [(7, "http://b.example.com/x?q=1", LONG), (3, "https://www.a.org/", LONG), (9, "http://a.org:80/y#z", LONG), (1, None, "tiny"), (2, "no scheme", "tiny"), (4, "http://[bad", ""), (5, "http://x.net/a b\r\nc", None), (None, "http://x.net/", LONG), (3, "https://www.a.org/", LONG), (6, "http://x.net/é", "y" * 100_000), (None, None, "z" * 200), (8, "http://long.org/" + "x" * 100_000, "short")]
     return spark.createDataFrame([(*r, i, "e") for i, r in enumerate(rows)], "page_id long, url string, html string, digest int, run string")
 
 
