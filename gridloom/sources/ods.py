@@ -76,13 +76,14 @@ def decode_cell(value: str | None, kind: str, shown: str, is_duration: bool) ->
     return (shown or None) if kind in ("string", "") else None
 
 
-#: A cell as rows are decoded from it: value type, value, style, repeats, shown text.
-Cell = tuple[str, str | None, str | None, int, str]
+#: A cell as rows are decoded from it: what its attributes say (value type, value, style, repeats), and its text.
+Said = tuple[str, str | None, str | None, int]
+Cell = tuple[Said, str]
 _VALUES = {"float": "value", "currency": "value", "percentage": "value", "date": "date-value", "time": "time-value", "boolean": "boolean-value"}
 
 
 def _value(cell: Cell, options: Options, styles: TimeStyles) -> Any:
-    kind, value, style, _, shown = cell
+    (kind, value, style, _), shown = cell
     if not options.stringify_values:
         return decode_cell(value, kind, shown, styles.is_duration(style))
     if kind == "boolean":
@@ -99,19 +100,20 @@ def _cells(row: ElementTree.Element) -> Iterator[Cell]:
             kind, shown = cell.get(OFFICE + "value-type", ""), ""
             for p in cell.iter(TEXT + "p"):
                 shown = "".join(p.itertext())
-            yield kind, cell.get(OFFICE + _VALUES[kind]) if kind in _VALUES else None, cell.get(TABLE + "style-name"), int(cell.get(TABLE + "number-columns-repeated", "1")), shown
+            yield (kind, cell.get(OFFICE + _VALUES[kind]) if kind in _VALUES else None, cell.get(TABLE + "style-name"), int(cell.get(TABLE + "number-columns-repeated", "1"))), shown
 
 
 def _row(cells: Iterable[Cell], options: Options, wanted: Wanted, styles: TimeStyles) -> Row:
     out: Row = []
     asked, plain = wanted.columns, options.stringify_values
     for cell in cells:
-        repeat, first = cell[3], len(out)
+        (kind, _, _, repeat), shown = cell
+        first = len(out)
         if repeat == 1 and first < MAX_COLUMNS:
             if asked is not None and first not in asked:
                 out.append(None)
-            elif plain and cell[0] == "string":
-                out.append(cell[4] or None)
+            elif plain and kind == "string":
+                out.append(shown or None)
             else:
                 out.append(_value(cell, options, styles))
             continue
@@ -129,7 +131,7 @@ def _row(cells: Iterable[Cell], options: Options, wanted: Wanted, styles: TimeSt
 _ATTRIBUTES = r'(?: [\w:.-]+="[^"<\t\n]*")*'
 _ATTRIBUTE = re.compile(r' ([\w:.-]+)="([^"]*)"')
 #: A cell as most writers put it: attributes, and nothing or one paragraph of text.
-_CELL = re.compile(rf"\s*<table:(covered-)?table-cell({_ATTRIBUTES}) ?(?:/>|>(?:<text:p>([^<]*)</text:p>|<text:p/>)?</table:(?:covered-)?table-cell>)")
+_CELL = re.compile(r"(<table:(covered-)?table-cell([^<>]*)(?:(?<=/)>|(?<!/)>(?:<text:p>([^<]*)</text:p>|<text:p/>)?</table:(?:covered-)?table-cell>))")
 #: What stands around cells: rows, tables, and what groups or describes rows and columns.
 _AROUND = re.compile(
     rf"\s*<(?:(?P<row>table:table-row)(?P<row_has>{_ATTRIBUTES}) ?(?P<alone>/?)|(?P<table>table:table)(?P<table_has>{_ATTRIBUTES}) ?|(?P<end>/table:table)|table:table-column{_ATTRIBUTES} ?/"
@@ -142,24 +144,31 @@ def _has(attributes: str) -> dict[str, str]:
     return {k: unescaped(v) for k, v in _ATTRIBUTE.findall(attributes)}
 
 
-def _plain_cells(body: str, known: dict[str, Cell]) -> list[Cell] | None:
+def _said(attributes: str) -> Said | None:
+    """What a cell's attributes say; None unless they are written as most writers do."""
+    plain = attributes.removesuffix("/").removesuffix(" ")
+    if not re.fullmatch(_ATTRIBUTES, plain):
+        return None
+    has = _has(plain)
+    kind = has.get("office:value-type", "")
+    return kind, has.get("office:" + _VALUES[kind]) if kind in _VALUES else None, has.get("table:style-name"), int(has.get("table:number-columns-repeated", "1"))
+
+
+def _plain_cells(body: str, known: dict[str, Said]) -> list[Cell] | None:
     """The cells of a row by its text alone; None unless every sign of it is accounted for."""
     out: list[Cell] = []
-    at, match = 0, _CELL.match
-    while m := match(body, at):
-        covered, attributes, shown = m.groups()
-        at = m.end()
-        if covered:
-            continue
-        cell = known.get(attributes)
-        if cell is None:
-            has = _has(attributes)
-            kind = has.get("office:value-type", "")
-            cell = kind, has.get("office:" + _VALUES[kind]) if kind in _VALUES else None, has.get("table:style-name"), int(has.get("table:number-columns-repeated", "1")), ""
-            if len(known) < 10_000:
-                known[attributes] = cell
-        out.append((*cell[:4], unescaped(shown) if "&" in shown else shown) if shown else cell)
-    return out if not body[at:].strip() else None
+    found = _CELL.findall(body)
+    if sum([len(c[0]) for c in found]) != len(body) and _CELL.sub("", body).strip():
+        return None
+    for _, covered, attributes, shown in found:
+        said = known.get(attributes) or _said(attributes)
+        if said is None:
+            return None
+        if len(known) < 10_000:
+            known[attributes] = said
+        if not covered:
+            out.append((said, unescaped(shown) if "&" in shown else shown))
+    return out
 
 
 def _fast_rows(source: IO[bytes], chosen: Callable[[int, str], bool], styles: TimeStyles) -> Iterator[tuple[int, Iterable[Cell]]]:

@@ -141,7 +141,7 @@ def rows(content: bytes, options: Options, wanted: Wanted) -> Iterator[Row]:
 
 
 #: A cell as most writers put it: address, style, type, and a text in place, a value or nothing.
-_CELL = re.compile(r'<c(?: r="([A-Za-z]+)[0-9]*")?(?: s="([0-9]+)")?(?: t="([A-Za-z]+)")? ?(?:/>|>(?:<is><t(?: xml:space="preserve")?>([^<]*)</t></is>|(?:<f(?: [^<>]*)?(?:/>|>[^<]*</f>))?<v>([^<]*)</v>|<v/>)?</c>)')
+_CELL = re.compile(r'(<c(?: r="([A-Za-z]+)[0-9]*")?(?: s="([0-9]+)")?(?: t="([A-Za-z]+)")? ?(?:/>|>(?:<is><t(?: xml:space="preserve")?>([^<]*)</t></is>|(?:<f(?: [^<>]*)?(?:/>|>[^<]*</f>))?<v>([^<]*)</v>|<v/>)?</c>))')
 _HEAD = re.compile(r"\s*(?:<row(?: [^<>]*)?/>\s*)*<row(?: [^<>]*[^<>/])? ?>\s*")
 _ALONE = re.compile(r"<row(?: [^<>]*)?/>")
 
@@ -165,13 +165,13 @@ def plain_rows(group: bytes) -> list[list[tuple[str, str, str, str]]] | None:
         if segment.count("<row", 0, head.end()) > 1:
             out += [[] for _ in _ALONE.findall(head[0])]
         body = segment[head.end() :]
-        if _CELL.sub("", body).strip():
-            return None
         cells = _CELL.findall(body)
+        if sum([len(c[0]) for c in cells]) != len(body) and _CELL.sub("", body).strip():
+            return None
         if escaped and "&" in body:
-            out.append([(r, s, t, unescaped(i or v)) for r, s, t, i, v in cells])
+            out.append([(r, s, t, unescaped(i or v)) for _, r, s, t, i, v in cells])
         else:
-            out.append([(r, s, t, i or v) for r, s, t, i, v in cells])
+            out.append([(r, s, t, i or v) for _, r, s, t, i, v in cells])
     return out
 
 
@@ -206,6 +206,9 @@ def _decode(cells: Iterable[tuple[str, str, str, str]], options: Options, wanted
         if asked is not None and at not in asked:
             out.append(None)
             continue
+        if not (native or style) and kind in ("inlineStr", "str", "b", ""):
+            out.append(text)  # nothing to look up
+            continue
         if kind == "s":
             text = strings[int(text)] if text.isdigit() and int(text) < len(strings) else ""
         shows = classes[int(style)] if style and style.isdigit() and int(style) < len(classes) else None
