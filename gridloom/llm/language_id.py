@@ -5,8 +5,9 @@ over hashed byte n-grams tells the languages whose codeword has +1 from the
 others. A text's bits are decoded by loss: the language whose codeword has the
 least logistic loss, bits weighted by how well they separate the training
 texts, is chosen; if the next one is almost as near, the text is ambiguous.
-A text whose bits are far from every codeword is in none of the languages: it
-is rejected, as is an ambiguous one, unless it is too short to tell.
+A text is in none of the languages, and rejected, if it is far from every
+codeword or ambiguous as a whole and its pieces are far from every codeword, too:
+a text that mixes learned languages is near to one piece by piece.
 
 The classifiers are naive Bayes log-odds, so they need only n-gram frequencies
 by language, which executors gather from a bounded sample of labelled rows.
@@ -41,6 +42,8 @@ AMBIGUOUS = 0.02
 REJECT_LOSS = 0.5 * math.log(2)
 #: Letters that a text must have to be rejected for its loss or ambiguity; with fewer there is too little to go by.
 EVIDENCE_LETTERS = 16
+#: Signs of the pieces of a text that is looked at again.
+PIECE = 256
 UND = "und"
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -133,7 +136,12 @@ class Model:
         if not self.languages:
             return UND, 0.0, False, False
         lang, score, near, loss = self.decode(self.bits(text))
-        return lang, score, near, (near or loss > REJECT_LOSS) and has_evidence(text)
+        return lang, score, near, (near or loss > REJECT_LOSS) and has_evidence(text) and self.is_strange(text)
+
+    def is_strange(self, text: str) -> bool:
+        """Whether the pieces of a text are far from all codewords, on average."""
+        pieces = [text[at : at + PIECE] for at in range(0, len(text), PIECE)]
+        return sum(len(p) * self.decode(self.bits(p))[3] for p in pieces) > REJECT_LOSS * len(text)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +223,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     A null text and one without a letter is ``und`` with score 0 and rejected;
     ``und``, but not rejected, is every text with a letter if there was nothing
     to learn from. Other texts have the nearest language, and are rejected if
-    they are ambiguous or no codeword is near (REJECT_LOSS), given at least
-    EVIDENCE_LETTERS letters. A null id counts as empty
+    they are ambiguous or no codeword is near (REJECT_LOSS), as a whole and by
+    pieces, given at least EVIDENCE_LETTERS letters. A null id counts as empty
     text for held_out. Repeated rows come back each and an empty table gives an
     empty result; only doc_id and text are read.
     """
@@ -229,8 +237,8 @@ def keep_identified(docs: DataFrame, languages: Sequence[str] | None = None) ->
     """``docs`` without the rows that the classifier rejects. Columns stay as they were.
 
     A row goes if its text is null or has no letter, or if it has at least
-    EVIDENCE_LETTERS letters and is ambiguous or far from all codewords, as a
-    text in a language that was not learned, or in none, is. With ``languages``
+    EVIDENCE_LETTERS letters and is far from all codewords, as a text in a
+    language that was not learned, or in none, is. With ``languages``
     rows predicted as another one go too. Where no row has a language to learn
     from, texts with a letter stay.
     """

@@ -73,7 +73,15 @@ def test_against_loops(spark):
         bits = [sum(float(model.weights[g, b]) for order in op.buckets(op.folded(r["text"])) for g in order) for b in range(model.weights.shape[1])]
         n = sum(len(order) for order in op.buckets(op.folded(r["text"])))
         losses = [sum(w * np.log1p(np.exp(-op.LOSS_SCALE * c * s / n)) for w, c, s in zip(model.bit_weights, word, bits)) / sum(model.bit_weights) for word in model.code]
-        assert got[r["doc_id"]][0] == model.languages[int(np.argmin(losses))] and got[r["doc_id"]][3] == (min(losses) > op.REJECT_LOSS or got[r["doc_id"]][2])
+        assert got[r["doc_id"]][0] == model.languages[int(np.argmin(losses))] and got[r["doc_id"]][3] == (min(losses) > op.REJECT_LOSS)  # texts of one piece
+
+
+def test_mixtures_of_languages_stay(spark):
+    model = op.fit(op.training_rows(corpus(spark)))
+    parts = [" ".join([SAMPLES[lang]] * (op.PIECE // len(SAMPLES[lang]) + 1))[: op.PIECE] for lang in SAMPLES]
+    mixed, strange = "".join(parts), "".join(list(STRANGE.values()) * 6)
+    loss = model.decode(model.bits(mixed))[3]
+    assert loss > op.REJECT_LOSS and not model.predict(mixed)[3] and model.predict(strange)[3]
 
 
 def test_stage_with_nothing_to_learn(messy):
