@@ -289,7 +289,9 @@ def split_layout(spark: SparkSession, paths: list[str], heads: list[tuple[int, b
         return None
     lines = spark.read.text(paths, lineSep="\n").select(_line(F.col("value")).alias("line")).filter("line <> ''")
     bare = _outside_quotes(F.col("line"), separator, options.enclosure)
-    odd = F.col("line").rlike(rf"[\r\x00{_MARK}\x{{FFFD}}]|^[\x00-\x20]+$")
+    has = lambda sign: F.contains("line", F.lit(sign))
+    blank = F.ltrim(F.col("line"), F.lit("".join(map(chr, range(33))))) == ""
+    odd = has("\r") | has("\0") | has(_MARK) | has("\ufffd") | blank
     seen = lines.withColumn("bare", bare).select((odd | F.contains("bare", F.lit(options.enclosure)) | F.contains("bare", F.lit(_MARK))).alias("odd"), _cells(F.col("bare"), separator).alias("cells"))
     found_odd, most = seen.agg(F.max(F.col("odd").cast("int")), F.max("cells")).first()
     if found_odd or most > MAX_SPLIT_COLUMNS:
