@@ -287,11 +287,12 @@ def split_layout(spark: SparkSession, paths: list[str], heads: list[tuple[int, b
     separator = separators.pop()
     if separators or None in tops or separator in "\r\n" or separator == options.enclosure:
         return None
-    lines = spark.read.text(paths, lineSep="\n").select(_line(F.col("value")).alias("line")).filter("line <> ''")
+    # a line keeps its bytes as they are, and signs are counted wrongly where they are no UTF-8, so that is asked before the line's end is cut
+    lines = spark.read.text(paths, lineSep="\n").filter(~F.col("value").isin("", "\r")).select(_line(F.col("value")).alias("line"), (~F.is_valid_utf8("value")).alias("broken"))
     bare = _outside_quotes(F.col("line"), separator, options.enclosure)
     has = lambda sign: F.contains("line", F.lit(sign))
     blank = F.ltrim(F.col("line"), F.lit("".join(map(chr, range(33))))) == ""
-    odd = has("\r") | has("\0") | has(_MARK) | has("\ufffd") | blank
+    odd = has("\r") | has("\0") | has(_MARK) | F.col("broken") | blank
     seen = lines.withColumn("bare", bare).select((odd | F.contains("bare", F.lit(options.enclosure)) | F.contains("bare", F.lit(_MARK))).alias("odd"), _cells(F.col("bare"), separator).alias("cells"))
     found_odd, most = seen.agg(F.max(F.col("odd").cast("int")), F.max("cells")).first()
     if found_odd or most > MAX_SPLIT_COLUMNS:

@@ -209,6 +209,37 @@ def test_split_and_whole_reads_agree(spark, tmp_path, text):
     assert (layout is not None) == (text in PLAIN)
 
 
+NO_UTF8 = [b"k,v\r\n1,R\xe9x\xf1\r\n", b"k,v\n1,R\xe9\n", b"k,v\r\n1,x\xe9\r\n", b"k,v\r\n1,x\r\n\xe9\r\n", b"k,v\r\n1,x\xf1\r", b"k\xe9,v\r\n1,x\r\n", b"k,v\n1,\x80\n", b"k,v\n1,\xed\xa0\x80\n", b"k,v\n1,x\xc3"]
+
+
+@pytest.mark.parametrize("content", NO_UTF8)
+def test_files_of_other_bytes_than_utf8_are_read_whole(spark, tmp_path, content):
+    from gridloom.sources import frames
+
+    path = tmp_path / "x.csv"
+    path.write_bytes(content)
+    for options in ({"assoc": True, "input_encoding": "auto"}, {"input_encoding": "auto"}, {"assoc": True}, {"input_encoding": "utf-8"}):
+        whole = read(spark, content, row_id=True, **options)
+        got = facade.read(spark, str(path), row_id=True, **options)
+        assert got.columns == whole.columns and rows(got) == rows(whole)
+    assert frames.split_layout(spark, [str(path)], frames.file_heads(spark, [path.as_uri()]), make_options(assoc=True)) is None
+
+
+def test_files_of_several_encodings(spark, tmp_path):
+    for i, encoding in enumerate(("utf-8", "latin-1", "cp1252")):
+        (tmp_path / f"{i}.csv").write_bytes(f"k,v\r\n{i},Ré{'€' if encoding == 'cp1252' else 'ñ'}\r\n".encode(encoding))
+    assert sorted(rows(facade.read(spark, str(tmp_path), format="csv", assoc=True, input_encoding="auto"))) == [("0", "Réñ"), ("1", "Réñ"), ("2", "Ré€")]
+
+
+def test_a_replacement_sign_of_its_own_is_read_in_splits(spark, tmp_path):
+    from gridloom.sources import frames
+
+    path = tmp_path / "x.csv"
+    path.write_bytes("k,v\r\n1,R\ufffd\r\n".encode())
+    assert rows(facade.read(spark, str(path), assoc=True)) == [("1", "R\ufffd")]
+    assert frames.split_layout(spark, [str(path)], frames.file_heads(spark, [path.as_uri()]), make_options(assoc=True)) is not None
+
+
 def test_large_files_are_read_by_many_tasks(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_text("i,t\n" + "".join(f'{i},"t ""{i}"", x"\n' for i in range(40_000)))
