@@ -46,11 +46,7 @@ def reader(format: str) -> Callable[..., DataFrame]:
 def write_stream(df: DataFrame, out: IO[bytes], format: str, options: Options | None = None, **changes: Any) -> None:
     """Write a frame as a document to a binary stream."""
     kind, chosen = files.known_format(format), make_options(options, **changes)
-    if kind == "csv":
-        for chunk in csv_sink.chunks(df, chosen):
-            out.write(chunk)
-    else:
-        (xlsx_sink if kind == "xlsx" else ods_sink).write(df, out, chosen)
+    {"csv": csv_sink, "xlsx": xlsx_sink, "ods": ods_sink}[kind].write(df, out, chosen)
 
 
 def write(df: DataFrame, path: str, options: Options | None = None, *, format: str | None = None, **changes: Any) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 from collections.abc import Iterator
+from typing import IO
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 from ..options import BOMS, Options
 from .pieces import leaves, pieces
+from .staged import stage
 
 
 def _separator(options: Options) -> str:
@@ -73,6 +75,22 @@ def header_lines(cells: DataFrame, header, options: Options) -> list[str]:
     return out
 
 
+def write(df: DataFrame, out: IO[bytes], options: Options) -> None:
+    """Write a frame as a CSV document to a stream; executors encode and store the rows."""
+    check_encoding(options)
+    cells, header = leaves(df, options)
+    encoding = options.output_encoding or "utf-8"
+    plain = codecs.lookup(encoding).name == "utf-8"
+    line = F.concat(line_column(cells, options), F.lit(options.eol))
+    staged = stage(cells, line, encoding=None if plain else encoding)
+    if staged is None:
+        for chunk in chunks(df, options):
+            out.write(chunk)
+        return
+    out.write(options.bom_bytes() + "".join(x + options.eol for x in header_lines(cells, header, options)).encode(encoding))
+    staged.append(out)
+
+
 def chunks(df: DataFrame, options: Options) -> Iterator[bytes]:
     """The bytes of a CSV document, piece by piece."""
     check_encoding(options)

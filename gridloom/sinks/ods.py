@@ -16,6 +16,7 @@ from ..options import Options
 from ..rowid import ROW_ID
 from ..sources.files import MIME_TYPES
 from .pieces import joined, leaves, pieces
+from .staged import Staged, stage, write_entry
 from .xlsx import escape, escape_attribute, interval_us, sheet_name
 
 _NS = "urn:oasis:names:tc:opendocument:xmlns:"
@@ -102,11 +103,13 @@ def write(df: DataFrame, out: IO[bytes], options: Options) -> None:
     """Write a frame as a workbook with one table to a stream."""
     cells, header = leaves(df, options)
     opening, rows, closing = shell(cells, header, options)
-    document(out, options, opening, rows, pieces(cells, row_column(cells, options)), closing)
+    line = row_column(cells, options)
+    staged = stage(cells, line, deflate=True)
+    document(out, options, opening, rows, pieces(cells, line) if staged is None else staged, closing)
 
 
-def document(out: IO[bytes], options: Options, opening: str, rows: list[list[str]], lines: Iterator[str], closing: str) -> None:
-    """Write encoded rows as a workbook to a stream."""
+def document(out: IO[bytes], options: Options, opening: str, rows: list[list[str]], lines: Iterator[str] | Staged, closing: str) -> None:
+    """Write encoded rows, or staged ones, as a workbook to a stream."""
     mime = MIME_TYPES["ods"]
     files = "".join(f'<manifest:file-entry manifest:full-path="{p}" manifest:media-type="{t}"/>' for p, t in (("/", mime), ("content.xml", "text/xml"), ("meta.xml", "text/xml"), ("styles.xml", "text/xml")))
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, allowZip64=True) as package:
@@ -114,8 +117,12 @@ def document(out: IO[bytes], options: Options, opening: str, rows: list[list[str
         package.writestr("META-INF/manifest.xml", f'{HEAD}<manifest:manifest xmlns:manifest="{_NS}manifest:1.0" manifest:version="1.2">{files}</manifest:manifest>')
         package.writestr("meta.xml", _meta(options))
         package.writestr("styles.xml", f'{HEAD}<office:document-styles {_SPACES} office:version="1.2"><office:styles/></office:document-styles>')
+        before = (opening + _header(rows, options)).encode("utf-8", "replace")
+        if isinstance(lines, Staged):
+            write_entry(package, "content.xml", before, len(rows), lines, closing.encode())
+            return
         with package.open("content.xml", "w", force_zip64=True) as content:
-            content.write((opening + _header(rows, options)).encode("utf-8", "replace"))
+            content.write(before)
             for chunk in joined(lines):
                 content.write(chunk.encode("utf-8", "replace"))
             content.write(closing.encode())

@@ -22,6 +22,7 @@ from pyspark.sql.types import StructType
 
 from ..options import Meta, Options
 from ..rowid import ROW_ID
+from ..stores import store_of
 from . import ods, xlsx
 from .ods import document as ods_document
 from .pieces import leaves
@@ -58,16 +59,7 @@ class _Parts(DataSourceArrowWriter):
         self.pending = f"_pending-{uuid.uuid4().hex}"
 
     def _store(self):
-        from pyarrow import fs
-
-        folder = self.said["path"]
-        if "://" not in folder and not folder.startswith("file:"):
-            return fs.LocalFileSystem(), folder.rstrip("/")
-        if folder.startswith("file:/") and not folder.startswith("file://"):
-            folder = "file://" + folder[5:]
-        if folder.startswith(("s3a://", "s3n://")):
-            folder = "s3://" + folder[6:]
-        return fs.FileSystem.from_uri(folder.rstrip("/"))
+        return store_of(self.said["path"])
 
     def write(self, batches: Iterator) -> _Written:
         limit, package = int(self.said["rows"]), json.loads(self.said["package"])

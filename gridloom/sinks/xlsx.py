@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import datetime, timezone
 from typing import IO
 from xml.sax.saxutils import quoteattr
@@ -17,8 +18,10 @@ from ..errors import WriteError
 from ..functions import columns as C
 from ..functions import values as V
 from ..options import Options
-from ..rowid import ROW_ID
+from ..rowid import ROW_ID, with_row_id
+from ..scratch import written
 from .pieces import joined, leaves, pieces
+from .staged import Staged, stage, write_entry
 
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 DOC_RELS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -29,6 +32,7 @@ DATETIME, BOLD, TIME, DURATION = 1, 2, 3, 4
 #: A longer text, in bytes, is written in place even if strings are shared.
 SHARED_BYTES = 160
 MAX_COLUMN, MAX_ROW = 16_384, 1_048_576
+FIRST_SHEET, SHARED_ENTRY = "xl/worksheets/sheet1.xml", "xl/sharedStrings.xml"
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 
 
@@ -106,8 +110,8 @@ STRINGS_LIMIT = 1_000_000
 _SHARE = "\x01"
 
 
-def cell_column(c: Column, kind: T.DataType, options: Options) -> Column:
-    """The XML of a cell by its type."""
+def cell_column(c: Column, kind: T.DataType, options: Options, place: Column | None = None) -> Column:
+    """The XML of a cell by its type; a text with a place is the shared string there."""
     if isinstance(kind, T.BooleanType):
         xml = F.concat(F.lit('<c t="b"><v>'), F.when(c, "1").otherwise("0"), F.lit("</v></c>"))
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
@@ -124,7 +128,9 @@ def cell_column(c: Column, kind: T.DataType, options: Options) -> Column:
         xml = _number(((F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c).cast("double")) / 86_400).cast("string"), TIME)
     elif isinstance(kind, T.StringType):
         text = _text(c)
-        if options.shared_strings:
+        if place is not None:
+            text = F.when(place.isNotNull(), F.concat(F.lit('<c t="s"><v>'), place.cast("string"), F.lit("</v></c>"))).otherwise(text)
+        elif options.shared_strings:
             text = F.when(F.octet_length(c) <= SHARED_BYTES, F.concat(F.lit(_SHARE), F.regexp_replace(c, "[\x00-\x08\x0b\x0c\x0e-\x1f]", ""), F.lit(_SHARE))).otherwise(text)
         xml = F.when(c == "", "<c/>")
         xml = xml.when(C.is_numeric_cell(c), _number(C.trimmed(c))) if options.infer_numeric_strings else xml
@@ -141,8 +147,9 @@ def interval_us(c: Column) -> Column:
 
 def row_column(cells: DataFrame, options: Options) -> Column:
     """The XML of a row; rows and cells follow one another, so they carry no address."""
-    fields = [f for f in cells.schema.fields if f.name != ROW_ID]
-    return F.concat(F.lit("<row>"), *[cell_column(F.col(f.name), f.dataType, options) for f in fields], F.lit("</row>"))
+    fields = [f for f in cells.schema.fields if f.name.startswith("c")]
+    place = lambda name: F.col(f"_s_{name}") if f"_s_{name}" in cells.columns else None
+    return F.concat(F.lit("<row>"), *[cell_column(F.col(f.name), f.dataType, options, place(f.name)) for f in fields], F.lit("</row>"))
 
 
 class Strings:
@@ -163,9 +170,65 @@ class Strings:
         parts = row.split(_SHARE)
         return "".join(self.cell(p) if i % 2 else p for i, p in enumerate(parts))
 
-    def xml(self) -> str:
-        items = "".join(f'<si><t xml:space="preserve">{escape(s)}</t></si>' for s in self.index)
-        return f'{HEAD}<sst xmlns="{MAIN}" count="{len(self.index)}" uniqueCount="{len(self.index)}">{items}</sst>'
+    def items(self) -> str:
+        return "".join(f'<si><t xml:space="preserve">{escape(s)}</t></si>' for s in self.index)
+
+    def opening(self, count: int) -> str:
+        return f'{HEAD}<sst xmlns="{MAIN}" count="{count}" uniqueCount="{count}">'
+
+    def write(self, package: zipfile.ZipFile) -> None:
+        package.writestr(SHARED_ENTRY, f"{self.opening(len(self.index))}{self.items()}</sst>")
+
+
+@dataclass
+class SharedTable(Strings):
+    """Shared strings of which executors found those of the rows; here are the header's, which come first."""
+
+    texts: Staged | None = None
+
+    def __post_init__(self) -> None:
+        self.index = {}
+
+    def write(self, package: zipfile.ZipFile) -> None:
+        found = sum(s.rows for _, segments in self.texts.files for s in segments)
+        write_entry(package, SHARED_ENTRY, (self.opening(len(self.index) + found) + self.items()).encode("utf-8", "replace"), 0, self.texts, b"</sst>")
+
+
+def shared(cells: DataFrame, rows: list[list[str]], options: Options) -> tuple[DataFrame, SharedTable | None]:
+    """The cells with the places of their shared strings (_s_c0, ...), and the table of those, in the order in which they are first met.
+
+    The table is found and joined by executors. It ends at STRINGS_LIMIT;
+    further strings have no place and stand in their cells. None where
+    executors cannot write files.
+    """
+    table = SharedTable()
+    header_xml(rows, options, table)
+    if ROW_ID not in cells.columns:
+        cells = written(cells.withColumn(ROW_ID, F.monotonically_increasing_id()))
+    texts = [f.name for f in cells.schema.fields if isinstance(f.dataType, T.StringType)]
+
+    def key(name: str) -> Column:
+        c = F.col(name)
+        fits = (c != "") & (F.octet_length(c) <= SHARED_BYTES)
+        if options.infer_numeric_strings:
+            fits = fits & ~C.is_numeric_cell(c)
+        return F.when(fits, F.regexp_replace(c, "[\x00-\x08\x0b\x0c\x0e-\x1f]", ""))
+
+    spark, taken = cells.sparkSession, [(text, at) for text, at in table.index.items()]
+    if texts:
+        met = cells.select(ROW_ID, F.inline(F.array(*[F.struct(F.lit(i).alias("_column"), key(n).alias("text")) for i, n in enumerate(texts)]))).filter(F.col("text").isNotNull() & ~F.col("text").isin([t for t, _ in taken]))
+        first = met.groupBy("text").agg(F.min(F.struct(ROW_ID, "_column")).alias("_first"))
+        found = with_row_id(first.select("text", F.col("_first." + ROW_ID).alias("_row"), "_first._column"), ["_row", "_column"], "_at").select("text", "_at").filter(F.col("_at") < STRINGS_LIMIT - len(taken))
+    else:
+        found = spark.createDataFrame([], "text string, _at long")
+    item = F.concat(F.lit('<si><t xml:space="preserve">'), C.escape_xml(F.col("text")), F.lit("</t></si>"))
+    table.texts = stage(found.withColumnRenamed("_at", ROW_ID), item, deflate=True)
+    if table.texts is None:
+        return cells, None
+    places = found.withColumn("_at", F.col("_at") + len(taken)).union(spark.createDataFrame(taken, "text string, _at long"))
+    for n in texts:
+        cells = cells.withColumn(f"_k_{n}", key(n)).join(places.toDF(f"_k_{n}", f"_s_{n}"), f"_k_{n}", "left").drop(f"_k_{n}")
+    return cells, table
 
 
 def header_xml(rows: list[list[str]], options: Options, strings: Strings | None) -> str:
@@ -231,13 +294,19 @@ def write(df: DataFrame, out: IO[bytes], options: Options) -> None:
     sheet_name(options)
     cells, header = leaves(df, options)
     opening, rows, closing = shell(cells, header, options)
-    document(out, options, opening, rows, pieces(cells, row_column(cells, options)), closing)
+    strings = None
+    if options.shared_strings:
+        cells, strings = shared(cells, rows, options)
+    line = row_column(cells, options)
+    staged = stage(cells, line, deflate=True)
+    document(out, options, opening, rows, pieces(cells, line) if staged is None else staged, closing, strings)
 
 
-def document(out: IO[bytes], options: Options, opening: str, rows: list[list[str]], lines: Iterator[str], closing: str) -> None:
-    """Write encoded rows as a workbook to a stream."""
+def document(out: IO[bytes], options: Options, opening: str, rows: list[list[str]], lines: Iterator[str] | Staged, closing: str, strings: Strings | SharedTable | None = None) -> None:
+    """Write encoded rows, or staged ones, as a workbook to a stream."""
     name = sheet_name(options)
-    strings = Strings() if options.shared_strings else None
+    if options.shared_strings and strings is None:
+        strings = Strings()
     ml = "application/vnd.openxmlformats-officedocument"
     office = f"{DOC_RELS}"
     parts = [("/xl/workbook.xml", f"{ml}.spreadsheetml.sheet.main+xml"), ("/xl/worksheets/sheet1.xml", f"{ml}.spreadsheetml.worksheet+xml"), ("/xl/styles.xml", f"{ml}.spreadsheetml.styles+xml"), ("/docProps/core.xml", "application/vnd.openxmlformats-package.core-properties+xml"), ("/docProps/app.xml", f"{ml}.extended-properties+xml")]
@@ -254,13 +323,17 @@ def document(out: IO[bytes], options: Options, opening: str, rows: list[list[str
         package.writestr("xl/styles.xml", _styles())
         package.writestr("xl/workbook.xml", f'{HEAD}<workbook xmlns="{MAIN}" xmlns:r="{DOC_RELS}"><sheets><sheet name={quoteattr(name)} sheetId="1" r:id="rId1"/></sheets></workbook>')
         package.writestr("xl/_rels/workbook.xml.rels", _relationships(inner))
-        with package.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as sheet:
-            sheet.write((opening + header_xml(rows, options, strings)).encode("utf-8", "replace"))
-            for chunk in joined(map(strings.resolve, lines) if strings else lines):
-                sheet.write(chunk.encode("utf-8", "replace"))
-            sheet.write(closing.encode())
+        before = (opening + header_xml(rows, options, strings)).encode("utf-8", "replace")
+        if isinstance(lines, Staged):
+            write_entry(package, FIRST_SHEET, before, len(rows), lines, closing.encode())
+        else:
+            with package.open(FIRST_SHEET, "w", force_zip64=True) as sheet:
+                sheet.write(before)
+                for chunk in joined(map(strings.resolve, lines) if isinstance(strings, Strings) else lines):
+                    sheet.write(chunk.encode("utf-8", "replace"))
+                sheet.write(closing.encode())
         if strings is not None:
-            package.writestr("xl/sharedStrings.xml", strings.xml())
+            strings.write(package)
 
 
 __all__ = ["WriteError", "check_sheet_name", "escape", "escape_attribute", "freeze_xml", "password_hash", "protection_xml", "widths_xml", "write"]
