@@ -33,6 +33,7 @@ from ..segments import Segment, segments_of
 from ..stores import can_open, open_file
 from . import csv, ods, xlsx
 from .files import binary_files, check_path, file_size
+from .blocks import Block
 from .package import check_size, open_package
 from .rows import Assembled, Piece, Row, Wanted, assemble
 
@@ -40,9 +41,9 @@ BATCH_ROWS = 4096
 _ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "timestamp_ntz": pa.timestamp("us")}
 
 
-def decoded(content: bytes | IO[bytes], kind: str, options: Options, piece: Piece | None = None) -> Assembled:
-    """The data rows of a document's bytes or file."""
-    wanted = Wanted()
+def decoded(content: bytes | IO[bytes], kind: str, options: Options, piece: Piece | None = None, blocks: bool = False) -> Assembled:
+    """The data rows of a document's bytes or file; some as blocks, if those are taken."""
+    wanted = Wanted(takes_blocks=blocks)
     source: Iterator[Row] = csv.records(content, options) if kind == "csv" else (xlsx if kind == "xlsx" else ods).rows(content, options, wanted, piece)
     return assemble(source, options, wanted)
 
@@ -83,11 +84,17 @@ def whole_documents(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes | IO[byt
 
 def describe(content: bytes | IO[bytes], kind: str, options: Options, whole: bool, piece: Piece | None = None) -> dict[str, Any]:
     """Header, width and kinds of a document; with ``whole``, by all of its rows."""
-    found = decoded(content, kind, options, piece)
+    found = decoded(content, kind, options, piece, True)
     width = 0
     kinds: dict[int, set[str]] = {}
     if whole:
         for row in found.rows:
+            if isinstance(row, Block):
+                width = max(width, len(row.columns))
+                for i, column in enumerate(row.columns if not options.stringify_values else ()):
+                    if column is not None and (seen := column.kinds()):
+                        kinds.setdefault(i, set()).update(seen)
+                continue
             width = max(width, len(row))
             if not options.stringify_values:
                 for i, cell in enumerate(row):
@@ -132,16 +139,31 @@ def row_decoder(kind: str, options: Options, plain_width: int | None, kinds: lis
         arrays = [pa.array([path] * len(rows)), pa.array(range(first, first + len(rows)), pa.int64()), *map(_converted, columns, kinds)]
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
+    def block_of(path: str, first: int, block: Block, picked: Sequence[int]) -> pa.RecordBatch:
+        arrays = [pa.array([path] * block.rows), pa.array(range(first, first + block.rows), pa.int64())]
+        for i, k in zip(picked, kinds):
+            column = block.columns[i] if i < len(block.columns) else None
+            found = pa.nulls(block.rows, _ARROW[k]) if column is None else column.array(k)
+            arrays.append(_converted(column.values(), k) if found is None else found)
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content, piece in documents(batch):
                 try:
-                    found = decoded(content, kind, options, piece)
+                    found = decoded(content, kind, options, piece, True)
                     if found.header is not None and found.header.paths != paths:
                         raise InvalidDocument("The files have different headers: " + ", ".join(found.header.names))
                     picked = range(plain_width) if plain_width is not None else found.header.indices if found.header else ()
                     part, first = [], 0
                     for row in found.rows:
+                        if isinstance(row, Block):
+                            if part:
+                                yield batch_of(path, first, part)
+                                first, part = first + len(part), []
+                            yield block_of(path, first, row, picked)
+                            first += row.rows
+                            continue
                         part.append([row[i] if i < len(row) else None for i in picked])
                         if len(part) == BATCH_ROWS:
                             yield batch_of(path, first, part)
